@@ -267,24 +267,24 @@ def kpi_snapshot(tickets: DataFrame) -> DataFrame:
     return tickets.agg(*_kpi_columns())
 
 
-def daily_kpis(tickets: DataFrame) -> DataFrame:
+def daily_kpis(tickets: DataFrame, digits: int = 2) -> DataFrame:
     """The same figures per creation day."""
     return (
         tickets.filter(F.col("date").isNotNull())
         .groupBy(F.col("date").cast("date").alias("day"))
-        .agg(*_kpi_columns())
+        .agg(*_kpi_columns(digits))
         .withColumnRenamed("day", "date")
     )
 
 
-def _kpi_columns() -> list[Column]:
+def _kpi_columns(digits: int = 2) -> list[Column]:
     zero = F.lit(0.0)
     days = F.avg(F.when(F.col("is_resolved"), F.col("resolution_days")))
     return [
         F.count(F.lit(1)).alias("total_tickets"),
-        F.bround(F.coalesce(m.share(F.col("is_resolved")) * 100.0, zero), 2).alias("resolved_pct"),
+        F.bround(F.coalesce(m.share(F.col("is_resolved")) * 100.0, zero), digits).alias("resolved_pct"),
         _count_if(F.col("is_high_priority")).alias("high_priority_count"),
-        F.bround(F.coalesce(days, zero), 2).alias("avg_resolution_days"),
+        F.bround(F.coalesce(days, zero), digits).alias("avg_resolution_days"),
     ]
 
 

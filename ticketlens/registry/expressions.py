@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ticketlens.functions import cleaning, measures as m
@@ -252,16 +253,18 @@ def _(spark, sf):
     )
 
 
-@query("feature_matrix")
+@query("feature_matrix", over("user_features", "SELECT user_id, " + ", ".join(
+    f"round({c}::DOUBLE, 6) AS {c}" for c in features.USER_FEATURES) + " FROM user_features"))
 def _(spark, sf):
     rows = features.user_features(
         tb.tickets(spark, sf, "user_requester", "name_normalized", "status", "type", "priority",
                    "resolution_days", "date")
     )
-    from pyspark.ml.functions import vector_to_array
-
     matrix = features.feature_matrix(rows, features.USER_FEATURES)
-    return matrix.select("user_id", vector_to_array("features").alias("features"))
+    cells = vector_to_array("features")
+    return matrix.select(
+        "user_id", *[F.round(cells[i], 6).alias(c) for i, c in enumerate(features.USER_FEATURES)]
+    )
 
 
 # --- predicates -----------------------------------------------------------------------------
