@@ -52,9 +52,12 @@ def flatten_cell(c: Column, depth: int = 2) -> Column:
     ``OBJECT_KEYS``; anything that is not JSON is already the scalar. ``depth`` is how many
     lists may be nested.
     """
-    parsed = F.try_parse_json(c)
-    nested = c.rlike(r"^\s*[\[{]") & parsed.isNotNull()
-    return F.when(nested, _flatten_variant(parsed, depth)).otherwise(c)
+    # parsed once: the lambda binds the value that the branches below look at several times
+    held = F.transform(
+        F.array(F.try_parse_json(c)),
+        lambda v: F.when(v.isNotNull(), _flatten_variant(v, depth)).otherwise(c),
+    )
+    return F.when(c.rlike(r"^\s*[\[{]"), F.get(held, F.lit(0))).otherwise(c)
 
 
 def whole_number(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.operators.ranking import ranges, running_sums
+from ticketlens.session import cut_lineage
 
 
 def _safe(top: Column, bottom: Column) -> Column:
@@ -53,8 +54,11 @@ def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     Rows collapse to one per distinct score, then negatives below each score are summed over
     ranges of scores.
     """
-    by_score = df.groupBy(F.col(score).alias("score")).agg(
-        F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg")
+    # read three times below: for the ranges, their totals and the sums within
+    by_score = cut_lineage(
+        df.groupBy(F.col(score).alias("score")).agg(
+            F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg")
+        )
     )
     ranked = running_sums(by_score, "score", {"neg_upto": "neg"}, ranges(by_score, "score"))
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))

@@ -29,18 +29,21 @@ def merge_snapshot(
     stamp: Sequence[str] = (),
     stamp_on_insert: Sequence[str] = (),
     now: Column | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Insert new keys, overwrite known ones; columns the batch lacks keep their old value.
 
     ``stamp`` columns take ``now`` on every touched row, ``stamp_on_insert`` columns only on
-    new rows. Both sides are unique by key, so this is one shuffle join without row blow-up.
+    new rows. Both sides are unique by key (``unique`` says the batch already is), so this is
+    one shuffle join without row blow-up.
     """
     keys = list(keys)
     supplied = [c for c in batch.columns if c in current.columns and c not in keys]
     extra = [c for c in order_by if c not in batch.columns]
     if extra:
         raise ValueError(f"batch lacks order columns {extra}")
-    fresh = latest_per_key(batch, keys, order_by).select(*keys, *supplied)
+    once = batch if unique else latest_per_key(batch, keys, order_by)
+    fresh = once.select(*keys, *supplied)
     fresh = fresh.withColumn("_fresh", F.lit(True)).alias("n")
     old = current.withColumn("_known", F.lit(True)).alias("o")
     joined = old.join(fresh, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full")
@@ -61,7 +64,7 @@ def merge_snapshot(
     return joined.select(*[value(c).alias(c) for c in current.columns])
 
 
-def replace_slice(current: DataFrame, batch: DataFrame, column: str) -> DataFrame:
+def replace_by(current: DataFrame, batch: DataFrame, column: str) -> DataFrame:
     """Drop every old row whose ``column`` value the batch carries, then add the batch.
 
     Use it for results that are recomputed whole per algorithm: rows that vanished do not stay.

@@ -8,6 +8,7 @@ from ticketlens.operators import features, forecast, metrics, models, rollups
 from ticketlens.operators.filters import timestamp
 from ticketlens.registry import query
 from ticketlens.registry.sql import NOW, over
+from ticketlens.session import cut_lineage
 from ticketlens.sources import testbed as tb
 
 USER_INPUT = (
@@ -172,7 +173,7 @@ def _(spark, sf):
 @query("classify_users")
 def _(spark, sf):
     rows = tb.tickets(spark, sf, *USER_INPUT)
-    users = features.user_features(rows).persist()
+    users = cut_lineage(features.user_features(rows))
     model = models.train_profiles(users, rows.count())
     return models.predict_profiles(model, users).select("user_id", "profile", "confidence")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import types as T
 
 _LONG, _INT, _TEXT = T.LongType(), T.IntegerType(), T.StringType()
@@ -69,18 +71,34 @@ RECOMMENDATIONS = _table(
 )
 ACKS = _table(recommendation_id=_TEXT, user_id=_LONG, acknowledged_at=_TIME)
 
-# Table name -> (layout, key columns, columns stamped on every change, on insert only).
+
+@dataclass(frozen=True)
+class Table:
+    """Layout, key, columns stamped on every change or on insert, and the key that is sliced.
+
+    Only keys that grow with time are sliced: recent changes then touch few slices.
+    """
+
+    layout: T.StructType
+    keys: tuple[str, ...]
+    stamped: tuple[str, ...] = ()
+    stamped_on_insert: tuple[str, ...] = ()
+    sliced_by: str | None = None
+
+
+_LOADED = ("loaded_at",)
+_COMPUTED = ("computed_at",)
 WAREHOUSE = {
-    "dim_tickets_enriched": (TICKETS, ("id",), (), ("loaded_at",)),
-    "dim_users": (USERS, ("id",), (), ("loaded_at",)),
-    "dim_entities": (ENTITIES, ("id",), (), ("loaded_at",)),
-    "dim_categories": (CATEGORIES, ("id",), (), ("loaded_at",)),
-    "dim_groups": (GROUPS, ("id",), (), ("loaded_at",)),
-    "fact_kpis_daily": (KPIS, ("date",), ("computed_at",), ()),
-    "ml_user_profiles": (PROFILES, ("user_id",), ("computed_at",), ()),
-    "ml_forecasts": (FORECASTS, ("category_id", "forecast_date"), ("computed_at",), ()),
-    "ml_sla_risk": (RISK, ("technician_id",), ("computed_at",), ()),
-    "ml_clusters": (CLUSTERS, ("algorithm", "cluster_id"), ("computed_at",), ()),
-    "recommendations": (RECOMMENDATIONS, ("id",), (), ()),
-    "recommendation_acks": (ACKS, ("recommendation_id", "user_id"), ("acknowledged_at",), ()),
+    "dim_tickets_enriched": Table(TICKETS, ("id",), (), _LOADED, sliced_by="id"),
+    "dim_users": Table(USERS, ("id",), (), _LOADED),
+    "dim_entities": Table(ENTITIES, ("id",), (), _LOADED),
+    "dim_categories": Table(CATEGORIES, ("id",), (), _LOADED),
+    "dim_groups": Table(GROUPS, ("id",), (), _LOADED),
+    "fact_kpis_daily": Table(KPIS, ("date",), _COMPUTED),
+    "ml_user_profiles": Table(PROFILES, ("user_id",), _COMPUTED),
+    "ml_forecasts": Table(FORECASTS, ("category_id", "forecast_date"), _COMPUTED),
+    "ml_sla_risk": Table(RISK, ("technician_id",), _COMPUTED),
+    "ml_clusters": Table(CLUSTERS, ("algorithm", "cluster_id"), _COMPUTED),
+    "recommendations": Table(RECOMMENDATIONS, ("id",)),
+    "recommendation_acks": Table(ACKS, ("recommendation_id", "user_id"), ("acknowledged_at",)),
 }
