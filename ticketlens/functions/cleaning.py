@@ -61,9 +61,15 @@ def flatten_cell(c: Column, depth: int = 2) -> Column:
 
 
 def whole_number(c: Column) -> Column:
-    """Numeric text to BIGINT, anything else to NULL."""
+    """Numeric text to BIGINT, anything else to NULL.
+
+    The patterns come first because a failing cast is far dearer than a failing match.
+    """
     number = c.try_cast("double")
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    return F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), c.try_cast("bigint")).when(
+        c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"),
+        F.when(number == F.floor(number), number.try_cast("bigint")),
+    )
 
 
 def lenient_timestamp(c: Column) -> Column:

@@ -35,19 +35,25 @@ _CUSTOMER = {"entities_id", "groups_id_requester"}
 _NATION = {"groups_id_requester"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table. ``spread`` is for costly work per row: a file of fewer splits than there
+    are cores is dealt out to all of them; a table of many splits is left as it is."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return rows
 
 
 def _hours(start: str, hours: str):
     return F.expr(f"timestampadd(HOUR, CAST({hours} AS INT), {start})")
 
 
-def tickets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def tickets(spark: SparkSession, sf_dir: str, *columns: str, spread: bool = False) -> DataFrame:
     """The named columns of the enriched fact, ``id`` always among them."""
     wanted = ["id", *[c for c in columns if c != "id"]]
     need = set(wanted)
-    rows = table(spark, sf_dir, "orders")
+    rows = table(spark, sf_dir, "orders", spread)
     if need & _LINE:
         lines = (
             table(spark, sf_dir, "lineitem")
@@ -214,7 +220,7 @@ def raw_tickets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "_users_id_assign": "user_assign",
         "_groups_id_requester": "groups_id_requester",
     }
-    base = tickets(spark, sf_dir, *[renamed.get(c, c) for c in wanted])
+    base = tickets(spark, sf_dir, *[renamed.get(c, c) for c in wanted], spread=True)
     return base.select(*[F.expr(_RAW[c]).alias(c) for c in wanted])
 
 
