@@ -85,3 +85,35 @@ def test_promotion(spark, tmp_path):
     runs = [retrain._record(spark, root, "forecaster", {"mape": v}, "h", None) for v in (10.0, 12.0, 9.0)]
     assert [(r["version"], r["promoted"]) for r in runs] == [(1, True), (2, False), (3, True)]
     assert retrain.history(spark, root).count() == 3
+
+
+def test_dashboard_over_a_scored_warehouse(spark, tmp_path):
+    from ticketlens.operators.filters import Filters
+    from ticketlens.plans import inference
+    from ticketlens.plans.dashboard import Dashboard
+
+    house = Warehouse(spark, str(tmp_path))
+    house.ensure_schema()
+    tickets = spark.sql("""SELECT id, concat('Re: imprimante panne bureau ', CASE WHEN id % 3 = 0 THEN 'nord' ELSE 'sud' END) AS name,
+        CASE WHEN id % 2 = 0 THEN 5 ELSE 1 END AS status, 1 AS type, 6 AS priority, id % 2 AS itilcategories_id, id % 4 AS user_requester,
+        9L AS user_assign, 1L AS entities_id, 1L AS groups_id_requester, id % 2 = 0 AS is_resolved, true AS is_high_priority,
+        'imprimante panne bureau' AS name_normalized, 1.0D AS resolution_days,
+        timestampadd(DAY, CAST(id % 30 AS INT), TIMESTAMP_NTZ '2024-02-01 00:00:00') AS date,
+        TIMESTAMP_NTZ '2024-02-29 20:00:00' AS date_mod,
+        CASE WHEN id % 2 = 0 THEN TIMESTAMP_NTZ '2024-03-01 00:00:00' END AS solvedate FROM range(240)""")
+    house.upsert("dim_tickets_enriched", tickets, timestamp(NOW))
+    rules = inference.recommend.Rules(cause_racine=inference.recommend.CauseRacine(min_tickets=50))
+    for table, frame in inference.infer(house.read("dim_tickets_enriched"), timestamp(NOW), rules, trees=5).items():
+        house.upsert(table, frame, timestamp(NOW))
+    board = Dashboard(house, dt.datetime(2024, 3, 1))
+    overview = {k: v.collect() for k, v in board.overview().items()}
+    assert overview["kpis"][0].total_tickets == 240 and overview["repetitive"][0][0] == 240
+    assert 1 <= len(overview["alerts"]) <= 4
+    assert board.services().first().criticality == "CRITIQUE"
+    first = board.requesters(Filters(limit=2)).orderBy("rank").first()
+    assert (first.user_id, first.total, first.repetitive, first.profile) == (0, 60, 60, "critique")
+    assert board.technicians().first().risk_confidence == "low"
+    assert {r.ticket_count for r in board.repetitive().collect()} == {80, 160}
+    assert board.volume_forecast().count() > 0 and board.sla_risk().count() == 1
+    assert board.sites().count() == 1 and board.categories().count() == 2
+    assert {"AUTOMATISATION", "CAUSE_RACINE"} <= {r.type for r in board.recommendations(1).collect()}

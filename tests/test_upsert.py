@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.operators import upsert
 from ticketlens.operators.filters import timestamp
+from ticketlens.session import scratch_path, shared_folder
 from ticketlens.sources.warehouse import Warehouse
 
 NOW, LATER = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
@@ -88,13 +89,10 @@ def test_nested_columns_survive(spark, tmp_path):
     assert row.sample_titles == ["é"] and str(row.computed_at) == NOW
 
 
-def test_daily_overwrite_keeps_other_days(spark, tmp_path):
-    path = str(tmp_path / "kpi")
-    day = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "date string, total int")
-    upsert.overwrite_days(day, path)
-    upsert.overwrite_days(spark.createDataFrame([("2024-01-02", 9)], "date string, total int"), path)
-    got = rows(spark.read.parquet(path).select(F.col("date").cast("string"), "total"))
-    assert got == [("2024-01-01", 1), ("2024-01-02", 9)]
+def test_lineage_cuts_use_the_named_folder(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == named and scratch_path(spark, "x").startswith(named)
+    assert spark.sparkContext.getCheckpointDir() is not None
 
 
 def test_order_column_must_be_present(spark):

@@ -73,13 +73,3 @@ def replace_by(current: DataFrame, batch: DataFrame, column: str) -> DataFrame:
     return current.join(names, column, "left_anti").select(*current.columns).unionByName(
         batch, allowMissingColumns=True
     )
-
-
-def overwrite_days(df: DataFrame, path: str, column: str = "date") -> None:
-    """Write daily rows, replacing only the days the batch carries."""
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(column)
-        .parquet(path)
-    )

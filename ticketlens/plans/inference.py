@@ -81,7 +81,7 @@ def run(spark: SparkSession, root: str, now: Column, version: str = "") -> dict[
     return out
 
 
-if __name__ == "__main__":  # spark-submit -m ticketlens.plans.inference <root> <now>
+if __name__ == "__main__":  # spark-submit inference.py <warehouse root> <now>
     import sys
 
     from ticketlens.operators.filters import timestamp

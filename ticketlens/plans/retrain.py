@@ -112,3 +112,15 @@ def _silhouette(vectors: DataFrame, labels: DataFrame, n_clusters: float) -> flo
     if n_clusters < 2:
         return 0.0
     return float(clustering.silhouette(vectors, labels).first()["silhouette"])
+
+
+if __name__ == "__main__":  # spark-submit retrain.py <warehouse root> <now>
+    import sys
+
+    from ticketlens.operators.filters import timestamp
+    from ticketlens.session import build_session
+    from ticketlens.sources.warehouse import Warehouse
+
+    session = build_session("retrain")
+    fact = Warehouse(session, sys.argv[1]).read("dim_tickets_enriched")
+    print(retrain(fact, timestamp(sys.argv[2]), sys.argv[1]))

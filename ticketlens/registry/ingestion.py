@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketlens import schemas
 from ticketlens.functions.ids import content_fingerprint
 from ticketlens.operators import requesters, resolve, rollups, shaping, upsert
 from ticketlens.operators.filters import timestamp
@@ -237,16 +236,11 @@ _KPI = f"""SELECT CAST(date AS DATE) AS date, count(*) AS total_tickets, round_e
 def _(spark, sf):
     """Days of incidents only are written first, then every day anew over the same table."""
     rows = tb.tickets(spark, sf, "date", "is_resolved", "is_high_priority", "resolution_days", "type")
-    path = scratch_path(spark, "kpi")
+    warehouse = Warehouse(spark, scratch_path(spark, "kpi"))
     for part in (rows.filter("type = 1"), rows):
-        # one file per month folder: rows of a day travel together
-        days = rollups.daily_kpis(part, digits=8).withColumn("month", F.date_format("date", "yyyy-MM"))
-        upsert.overwrite_days(days.repartition("month"), path, "month")
-    layout = [f for f in schemas.KPIS.fields if f.name != "computed_at"]
-    stored = spark.read.schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in layout)).parquet(path)
-    return stored.select(
-        F.col("date").cast("string").alias("date"), *[f.name for f in layout if f.name != "date"]
-    )
+        warehouse.upsert("fact_kpis_daily", rollups.daily_kpis(part, digits=8), timestamp(NOW))
+    figures = ("total_tickets", "resolved_pct", "high_priority_count", "avg_resolution_days")
+    return warehouse.read("fact_kpis_daily").select(F.col("date").cast("string").alias("date"), *figures)
 
 
 @query("upsert_ack", over("recos", f"""

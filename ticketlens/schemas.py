@@ -76,7 +76,7 @@ ACKS = _table(recommendation_id=_TEXT, user_id=_LONG, acknowledged_at=_TIME)
 class Table:
     """Layout, key, columns stamped on every change or on insert, and the key that is sliced.
 
-    Only keys that grow with time are sliced: recent changes then touch few slices.
+    Tables that grow without bound are sliced; recent changes then touch few slices.
     """
 
     layout: T.StructType
@@ -90,12 +90,12 @@ _LOADED = ("loaded_at",)
 _COMPUTED = ("computed_at",)
 WAREHOUSE = {
     "dim_tickets_enriched": Table(TICKETS, ("id",), (), _LOADED, sliced_by="id"),
-    "dim_users": Table(USERS, ("id",), (), _LOADED),
+    "dim_users": Table(USERS, ("id",), (), _LOADED, sliced_by="id"),
     "dim_entities": Table(ENTITIES, ("id",), (), _LOADED),
     "dim_categories": Table(CATEGORIES, ("id",), (), _LOADED),
     "dim_groups": Table(GROUPS, ("id",), (), _LOADED),
     "fact_kpis_daily": Table(KPIS, ("date",), _COMPUTED),
-    "ml_user_profiles": Table(PROFILES, ("user_id",), _COMPUTED),
+    "ml_user_profiles": Table(PROFILES, ("user_id",), _COMPUTED, sliced_by="user_id"),
     "ml_forecasts": Table(FORECASTS, ("category_id", "forecast_date"), _COMPUTED),
     "ml_sla_risk": Table(RISK, ("technician_id",), _COMPUTED),
     "ml_clusters": Table(CLUSTERS, ("algorithm", "cluster_id"), _COMPUTED),

@@ -18,11 +18,12 @@ def alert_payload(recos: DataFrame) -> DataFrame:
     )
 
 
-def alert_stream(recos: DataFrame, start: Column | None = None, delay: str = "1 hour") -> DataFrame:
+def alert_stream(recos: DataFrame, start: Column | None = None, delay: str = "14 days") -> DataFrame:
     """Critical rows created after ``start``, each id once within ``delay`` of event time.
 
     ``recos`` is a streaming frame; the checkpoint takes the place of a high-water mark, so a
-    restart neither replays nor loses alerts. State is bounded by the watermark.
+    restart neither replays nor loses alerts. The default delay is the life of a
+    recommendation: it bounds the state, and what comes later than that has expired anyway.
     """
     critical = recos.filter(F.col("severity") == ALERT_SEVERITY)
     if start is not None:
