@@ -164,7 +164,8 @@ def _(spark, sf):
 
 
 # --- upserts --------------------------------------------------------------------------------
-@query("ensure_schema")
+@query("ensure_schema", """
+    SELECT (SELECT count(*) FROM region) AS n_groups, CAST(12 AS INTEGER) AS created, CAST(0 AS INTEGER) AS created_again""")
 def _(spark, sf):
     """Tables created on a fresh warehouse, then row counts after loading the groups."""
     warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
