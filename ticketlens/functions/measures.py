@@ -59,6 +59,21 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
+def day_micros(days: Column) -> Column:
+    """Days as whole microseconds: their sum is exact, whatever order tasks finish in."""
+    return F.round(days * F.lit(float(MICROS_PER_DAY))).cast("decimal(20,0)")
+
+
+def mean_of_micros(total: Column, n: Column) -> Column:
+    """Mean in days; NULL when ``n`` is 0."""
+    return F.try_divide(total.cast("double"), n) / F.lit(float(MICROS_PER_DAY))
+
+
+def mean_days(days: Column) -> Column:
+    """Aggregate: repeatable mean of a column of days."""
+    return mean_of_micros(F.sum(day_micros(days)), F.count(days))
+
+
 def percent(ratio: Column, digits: int = 1) -> Column:
     return F.bround(ratio * 100.0, digits)
 

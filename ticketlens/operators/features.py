@@ -42,7 +42,7 @@ def user_features(tickets: DataFrame) -> DataFrame:
             F.count_if(_yes(F.col("type") == m.REQUEST)).alias("requests"),
             F.count_if(resolved).alias("resolved"),
             F.count_if(m.is_high_priority(F.col("priority"))).alias("high"),
-            F.sum(days).alias("day_sum"),
+            F.sum(m.day_micros(days)).alias("day_sum"),
             F.count(days).alias("day_n"),
             F.min("date").alias("first"),
             F.max("date").alias("last"),
@@ -58,7 +58,7 @@ def user_features(tickets: DataFrame) -> DataFrame:
         (total - F.sum("resolved")).alias("open_count"),
         F.sum("high").alias("high_priority_count"),
         F.sum(F.when(repeated, F.col("n")).otherwise(F.lit(0))).alias("repetitive_count"),
-        F.coalesce(F.try_divide(F.sum("day_sum"), F.sum("day_n")), F.lit(0.0)).alias(
+        F.coalesce(m.mean_of_micros(F.sum("day_sum"), F.sum("day_n")), F.lit(0.0)).alias(
             "avg_resolution_days"
         ),
         F.bround(total / m.months_active(F.min("first"), F.max("last")), 3).alias(
@@ -101,7 +101,7 @@ def sla_features(tickets: DataFrame, now: Column, past_deadline_only: bool = Fal
             F.count_if(~resolved).alias("current_open_tickets"),
             F.count_if(since(7)).alias("tickets_last_7_days"),
             F.coalesce(
-                F.avg(F.when(since(30) & resolved, F.col("resolution_days"))), F.lit(0.0)
+                m.mean_days(F.when(since(30) & resolved, F.col("resolution_days"))), F.lit(0.0)
             ).alias("avg_resolution_days_last_30_days"),
             F.bround(m.share(m.is_high_priority(F.col("priority"))), 4).alias("high_priority_ratio"),
             F.bround(F.coalesce(F.avg(kept) * 100.0, F.lit(100.0)), 2).alias("historical_sla_pct"),

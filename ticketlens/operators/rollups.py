@@ -2,7 +2,7 @@
 
 Every roll-up aggregates the fact on its key alone, cuts to the wanted rows, and only then
 joins names and model results: one partial-aggregated shuffle of the fact, whatever its skew,
-and joins against at most ``Filters.limit`` rows.
+and joins against at most ``Filters.limit`` rows. ``digits`` is the display rounding of mean days.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def _sla_share() -> Column:
 
 
 def _days() -> Column:
-    return F.avg("resolution_days").alias("avg_days")
+    return m.mean_days(F.col("resolution_days")).alias("avg_days")
 
 
 def _biggest(df: DataFrame, key: str, n: int, by: str = "total") -> DataFrame:
@@ -69,8 +69,8 @@ def _sla() -> Column:
     return m.percent(F.col("sla_share")).alias("sla_pct")
 
 
-def _avg_days() -> Column:
-    return F.bround("avg_days", 2).alias("avg_resolution_days")
+def _avg_days(digits: int) -> Column:
+    return F.bround("avg_days", digits).alias("avg_resolution_days")
 
 
 # --- overview -------------------------------------------------------------------------------
@@ -185,7 +185,9 @@ def requester_rollup(
     )
 
 
-def service_rollup(tickets: DataFrame, groups: DataFrame, f: Filters = _ALL) -> DataFrame:
+def service_rollup(
+    tickets: DataFrame, groups: DataFrame, f: Filters = _ALL, digits: int = 2
+) -> DataFrame:
     key = "groups_id_requester"
     figures = f.apply(tickets).groupBy(key).agg(
         _total(), _high(), _open(), _incidents(), _requests(), _sla_share(), _days()
@@ -196,11 +198,13 @@ def service_rollup(tickets: DataFrame, groups: DataFrame, f: Filters = _ALL) ->
         F.coalesce("completename", "name", F.lit("Sans service")).alias("service"),
         "total", "high_priority", "open",
         m.criticality_band(F.col("high_priority") / F.col("total")).alias("criticality"),
-        "incidents", "requests", _sla(), _avg_days(),
+        "incidents", "requests", _sla(), _avg_days(digits),
     )
 
 
-def site_rollup(tickets: DataFrame, entities: DataFrame, f: Filters = _ALL) -> DataFrame:
+def site_rollup(
+    tickets: DataFrame, entities: DataFrame, f: Filters = _ALL, digits: int = 2
+) -> DataFrame:
     """Per site with its part of the filtered total; the root entity counts in neither."""
     key = "entities_id"
     rows = f.apply(tickets).filter(m.not_root_entity(F.col(key)))
@@ -213,12 +217,12 @@ def site_rollup(tickets: DataFrame, entities: DataFrame, f: Filters = _ALL) -> D
         m.fallback_label(F.col("name"), F.col(key), "Site", "Sans site").alias("name"),
         "total", "resolved", "open",
         F.bround(100.0 * F.col("total") / F.col("total_tickets"), 1).alias("part_pct"),
-        _sla(), _avg_days(), "total_tickets",
+        _sla(), _avg_days(digits), "total_tickets",
     )
 
 
 def technician_rollup(
-    tickets: DataFrame, users: DataFrame, risk: DataFrame, f: Filters = _ALL
+    tickets: DataFrame, users: DataFrame, risk: DataFrame, f: Filters = _ALL, digits: int = 2
 ) -> DataFrame:
     key = "user_assign"
     rows = f.apply(tickets).filter(F.col(key).isNotNull())
@@ -234,12 +238,14 @@ def technician_rollup(
             F.col(key).alias("technician_id"),
             m.user_display_name(F.col(key)).alias("name"),
             "total", "resolved", (F.col("total") - F.col("resolved")).alias("open"),
-            _sla(), _avg_days(), "risk_score", "next_48h_prediction", "risk_confidence",
+            _sla(), _avg_days(digits), "risk_score", "next_48h_prediction", "risk_confidence",
         )
     )
 
 
-def category_rollup(tickets: DataFrame, categories: DataFrame, f: Filters = _ALL) -> DataFrame:
+def category_rollup(
+    tickets: DataFrame, categories: DataFrame, f: Filters = _ALL, digits: int = 2
+) -> DataFrame:
     key = "itilcategories_id"
     figures = f.apply(tickets).groupBy(key).agg(
         _total(), _resolved(), _days(), _incidents(), _requests(), _open(), _sla_share()
@@ -250,7 +256,7 @@ def category_rollup(tickets: DataFrame, categories: DataFrame, f: Filters = _ALL
         m.fallback_label(F.col("name"), F.col(key), "Cat", "Sans catégorie").alias("name"),
         "total", "resolved",
         F.bround(100.0 * F.col("resolved") / F.col("total"), 1).alias("resolution_rate"),
-        _avg_days(), "incidents", "requests", "open", _sla(),
+        _avg_days(digits), "incidents", "requests", "open", _sla(),
     )
 
 
@@ -262,9 +268,9 @@ def share_of_total(df: DataFrame, key: str, digits: int = 1) -> DataFrame:
 
 
 # --- snapshot -------------------------------------------------------------------------------
-def kpi_snapshot(tickets: DataFrame) -> DataFrame:
+def kpi_snapshot(tickets: DataFrame, digits: int = 2) -> DataFrame:
     """One row of figures over the whole frame; zeros when it is empty."""
-    return tickets.agg(*_kpi_columns())
+    return tickets.agg(*_kpi_columns(digits))
 
 
 def daily_kpis(tickets: DataFrame, digits: int = 2) -> DataFrame:
@@ -277,9 +283,9 @@ def daily_kpis(tickets: DataFrame, digits: int = 2) -> DataFrame:
     )
 
 
-def _kpi_columns(digits: int = 2) -> list[Column]:
+def _kpi_columns(digits: int) -> list[Column]:
     zero = F.lit(0.0)
-    days = F.avg(F.when(F.col("is_resolved"), F.col("resolution_days")))
+    days = m.mean_days(F.when(F.col("is_resolved"), F.col("resolution_days")))
     return [
         F.count(F.lit(1)).alias("total_tickets"),
         F.bround(F.coalesce(m.share(F.col("is_resolved")) * 100.0, zero), digits).alias("resolved_pct"),

@@ -11,13 +11,14 @@ from ticketlens.operators import features, filters, forecast, listings, models,
 from ticketlens.operators.filters import Filters, timestamp
 from ticketlens.registry import query
 from ticketlens.registry.sql import (
-    EVENTS_NOW, NOW, OPEN, SEVERITY_KEY, SLA_MET, TODAY, over, pct, share, user_name,
+    EVENTS_NOW, NOW, OPEN, SEVERITY_KEY, SLA_MET, TODAY, mean_days, over, pct, share, user_name,
 )
 from ticketlens.sources import testbed as tb
 
 WINDOW = Filters(start_date=dt.date(1996, 3, 1), end_date=dt.date(2000, 6, 30))
 IN_WINDOW = "date >= TIMESTAMP '1996-03-01' AND date < TIMESTAMP '2000-07-01'"
-DAYS = "round_even(avg(resolution_days), 2)"
+DIGITS = 6  # enough to tell values apart; two digits of display are a last step
+DAYS = f"round_even({mean_days()}, {DIGITS})"
 NOT_ROOT = "(entities_id IS NULL OR entities_id <> 0)"
 _FACT = ("date", "is_resolved", "solvedate", "time_to_resolve", "resolution_days")
 
@@ -140,7 +141,7 @@ SERVICE_SQL = over("tickets dims", f"""
 @query("service_rollup", SERVICE_SQL)
 def service_rollup(spark, sf):
     rows = tb.tickets(spark, sf, *_FACT, "groups_id_requester", "is_high_priority", "type")
-    return rollups.service_rollup(rows, tb.groups(spark, sf))
+    return rollups.service_rollup(rows, tb.groups(spark, sf), digits=DIGITS)
 
 
 @query("site_rollup", over("tickets dims", f"""
@@ -154,7 +155,7 @@ def service_rollup(spark, sf):
     GROUP BY t.entities_id, e.name ORDER BY total DESC, t.entities_id NULLS LAST LIMIT 50"""))
 def _(spark, sf):
     rows = tb.tickets(spark, sf, *_FACT, "entities_id")
-    return rollups.site_rollup(rows, tb.entities(spark, sf), WINDOW)
+    return rollups.site_rollup(rows, tb.entities(spark, sf), WINDOW, DIGITS)
 
 
 @query("technician_rollup", over("tickets dims risk", f"""
@@ -169,7 +170,7 @@ def _(spark, sf):
     ORDER BY total DESC, t.user_assign LIMIT 50"""))
 def _(spark, sf):
     rows = tb.tickets(spark, sf, *_FACT, "user_assign")
-    return rollups.technician_rollup(rows, tb.users(spark, sf), tb.risk(spark, sf), WINDOW)
+    return rollups.technician_rollup(rows, tb.users(spark, sf), tb.risk(spark, sf), WINDOW, DIGITS)
 
 
 @query("category_rollup", over("tickets dims", f"""
@@ -186,17 +187,17 @@ def _(spark, sf):
 def _(spark, sf):
     rows = tb.tickets(spark, sf, *_FACT, "itilcategories_id", "entities_id", "type")
     f = Filters(WINDOW.start_date, WINDOW.end_date, entity_id=3)
-    return rollups.category_rollup(rows, tb.categories(spark, sf), f)
+    return rollups.category_rollup(rows, tb.categories(spark, sf), f, DIGITS)
 
 
 @query("kpi_snapshot", over("tickets", f"""
-    SELECT count(*) AS total_tickets, round_even({share('is_resolved')} * 100, 2) AS resolved_pct,
+    SELECT count(*) AS total_tickets, round_even({share('is_resolved')} * 100, {DIGITS}) AS resolved_pct,
         count(*) FILTER (is_high_priority) AS high_priority_count,
-        round_even(coalesce(avg(resolution_days) FILTER (is_resolved), 0), 2) AS avg_resolution_days
+        round_even(coalesce({mean_days('is_resolved')}, 0), {DIGITS}) AS avg_resolution_days
     FROM tickets"""))
 def _(spark, sf):
     return rollups.kpi_snapshot(
-        tb.tickets(spark, sf, "is_resolved", "is_high_priority", "resolution_days")
+        tb.tickets(spark, sf, "is_resolved", "is_high_priority", "resolution_days"), DIGITS
     )
 
 

@@ -9,7 +9,7 @@ from ticketlens.operators import requesters, resolve, rollups, shaping, upsert
 from ticketlens.operators.filters import timestamp
 from ticketlens.registry import query
 from ticketlens.registry.expressions import _KEYS, _SHOWN, number, raw
-from ticketlens.registry.sql import NOW, over, share
+from ticketlens.registry.sql import NOW, mean_days, over, share
 from ticketlens.session import scratch_path
 from ticketlens.sources import landing, testbed as tb
 from ticketlens.sources.warehouse import Warehouse
@@ -228,7 +228,7 @@ def _(spark, sf):
 
 _KPI = f"""SELECT CAST(date AS DATE) AS date, count(*) AS total_tickets, round_even({share('is_resolved')} * 100, 8) AS resolved_pct,
     count(*) FILTER (is_high_priority) AS high_priority_count,
-    round_even(coalesce(avg(resolution_days) FILTER (is_resolved), 0), 8) AS avg_resolution_days FROM tickets"""
+    round_even(coalesce({mean_days('is_resolved')}, 0), 8) AS avg_resolution_days FROM tickets"""
 
 
 @query("upsert_daily_kpi", over("tickets", f"""

@@ -85,6 +85,17 @@ VIOLATED = """coalesce(CASE WHEN coalesce(solvedate, closedate) IS NOT NULL
     THEN coalesce(solvedate, closedate) > time_to_resolve
     ELSE time_to_resolve IS NOT NULL END, false)"""
 
+
+
+def mean_days(condition: str = "true") -> str:
+    """Mean resolution days over exact sums of microseconds."""
+    micros = "CAST(round(resolution_days * 86400000000.0::DOUBLE) AS HUGEINT)"
+    return (
+        f"((sum({micros}) FILTER ({condition}))::DOUBLE / (count(resolution_days) FILTER ({condition}))"
+        " / 86400000000.0::DOUBLE)"
+    )
+
+
 _RECOS = """
 recos AS (
     SELECT 'r' || event_id AS id,
@@ -123,7 +134,7 @@ risk AS (
     FROM tickets WHERE user_assign IS NOT NULL GROUP BY 1
 )"""
 
-_USER_FEATURES = """
+_USER_FEATURES = f"""
 by_title AS (
     SELECT user_requester AS user_id, name_normalized, count(*) AS n
     FROM tickets WHERE user_requester IS NOT NULL GROUP BY 1, 2
@@ -139,7 +150,7 @@ user_features AS (
         count(*) FILTER (status NOT IN (5, 6)) AS open_count,
         count(*) FILTER (priority IN (5, 6)) AS high_priority_count,
         max(repetitive_count) AS repetitive_count,
-        coalesce(avg(resolution_days) FILTER (status IN (5, 6)), 0) AS avg_resolution_days,
+        coalesce({mean_days('status IN (5, 6)')}, 0) AS avg_resolution_days,
         round_even(count(*) / coalesce(greatest(
             date_diff('microsecond', min(date), max(date)) / 86400000000.0::DOUBLE / 30.0::DOUBLE, 1.0::DOUBLE),
             1.0::DOUBLE), 3) AS tickets_per_month
@@ -161,7 +172,7 @@ sla_features AS (
     SELECT user_assign AS technician_id,
         count(*) FILTER (status NOT IN (5, 6)) AS current_open_tickets,
         count(*) FILTER (date >= TIMESTAMP '{NOW}' - to_days(7)) AS tickets_last_7_days,
-        coalesce(avg(resolution_days) FILTER (status IN (5, 6) AND date >= TIMESTAMP '{NOW}' - to_days(30)), 0)
+        coalesce({mean_days(f"status IN (5, 6) AND date >= TIMESTAMP '{NOW}' - to_days(30)")}, 0)
             AS avg_resolution_days_last_30_days,
         round_even(avg(CASE WHEN priority IN (5, 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS high_priority_ratio,
         round_even(coalesce(avg(CASE WHEN {VIOLATED} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END)
