@@ -27,7 +27,7 @@ PATTERN = (  # fixed value: how byte-level tokenizers of this kind split a text
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 )
 _BLANKS = "\t\n\x0b\x0c\r \x85\xa0"
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 17
 
 
 def _letters() -> dict[str, int]:

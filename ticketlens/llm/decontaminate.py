@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import raw_bytes, text_slices
@@ -126,9 +126,12 @@ def find_leaks(
         F.col(text).alias("t"),
         F.array().cast(_SPANS).alias("runs"), F.array().cast("array<string>").alias("items"),
     )
-    for block in _blocks(items, item_id, item_text, block_words):
-        rows = _scan(rows, block, window)
-    rows = _place(rows)
+    blocks = _blocks(items, item_id, item_text, block_words)
+    block = next(blocks, [])
+    for following in blocks:
+        rows = rows.mapInArrow(_scanner(docs.sparkSession, block, window), rows.schema)
+        block = following
+    rows = _place(rows, _scanner(docs.sparkSession, block, window))
     return rows.select(
         *(F.col(f"c{i}").alias(c) for i, c in enumerate(names)),
         "n_words",
@@ -137,9 +140,9 @@ def find_leaks(
     )
 
 
-def _scan(rows: DataFrame, block: list[tuple], window: int) -> DataFrame:
-    """Add one block's runs and items to what earlier blocks found."""
-    shared = rows.sparkSession.sparkContext.broadcast(block)
+def _scanner(spark: SparkSession, block: list[tuple], window: int):
+    """A kernel that adds one block's runs and items to what earlier blocks found."""
+    shared = spark.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = None
@@ -165,14 +168,15 @@ def _scan(rows: DataFrame, block: list[tuple], window: int) -> DataFrame:
             columns |= {"runs": pa.array(runs, _KIND), "items": pa.array(names, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return rows.mapInArrow(run, rows.schema)
+    return run
 
 
-def _place(rows: DataFrame) -> DataFrame:
-    """Count words and turn word runs into byte spans of the text."""
+def _place(rows: DataFrame, scan) -> DataFrame:
+    """Scan for the last block, count words and turn word runs into byte spans of the text, all
+    in one Python worker a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in scan(batches):
             counts, spans = [], []
             runs = batch.column("runs")
             hits = np.diff(runs.offsets.to_numpy())
