@@ -337,3 +337,9 @@ def test_requesters(spark):
     assert all((r.users_id, r.groups_id) in pairs for r in both) and len({r.users_id for r in both}) > 100
     assert rows(out) == rows(requesters.assign_requester(missing, people, seed=1))
     assert rows(out) != rows(requesters.assign_requester(missing, people, seed=2))
+
+
+def test_no_candidates_assign_nothing(spark):
+    missing = spark.createDataFrame([(1, True, True)], "id long, needs_group boolean, needs_user boolean")
+    nobody = spark.createDataFrame([], "users_id long, groups_id long, group_name string")
+    assert requesters.assign_requester(missing, nobody).count() == 0

@@ -43,16 +43,17 @@ def dept_members(groups: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def draw(id_col: Column, seed: int, n: Column) -> Column:
-    """Pseudo-random number below ``n`` that depends on id and seed only."""
+    """Pseudo-random number below ``n`` that depends on id and seed only; NULL if ``n`` is 0."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), id_col.cast("string")))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), n)
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.nullif(n, F.lit(0)))
 
 
 def assign_requester(missing: DataFrame, candidates: DataFrame, seed: int = 42) -> DataFrame:
     """Give every incomplete ticket one candidate; group and user come from the same one.
 
     Candidates are numbered slice by slice (user id modulo ``SLICES``): each slice is ordered by
-    its own task and only the slice sizes are summed globally.
+    its own task and only the slice sizes are summed globally. Without candidates no ticket is
+    assigned.
     """
     sliced = candidates.withColumn("_slice", F.pmod(F.col("users_id"), F.lit(SLICES)))
     sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))

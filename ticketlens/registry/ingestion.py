@@ -285,7 +285,7 @@ _ASSIGNED = f"""
     SELECT m.id AS tickets_id, CASE WHEN needs_group THEN groups_id END AS groups_id,
         CASE WHEN needs_group THEN group_name END AS group_name, CASE WHEN needs_user THEN users_id END AS users_id
     FROM missing m JOIN numbered n
-        ON n.pick = ('0x' || substr(md5('42:' || m.id), 1, 8))::BIGINT % (SELECT count(*) FROM members)"""
+        ON n.pick = ('0x' || substr(md5('42:' || m.id), 1, 15))::BIGINT % (SELECT count(*) FROM members)"""
 
 
 @query("assign_requester", _ASSIGNED)
