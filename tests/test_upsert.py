@@ -99,3 +99,12 @@ def test_order_column_must_be_present(spark):
     df = spark.createDataFrame([(1, 2)], "id int, v int")
     with pytest.raises(ValueError):
         upsert.merge_snapshot(df, df, ["id"], order_by=["seen"])
+
+
+def test_warehouse_keeps_rows_without_a_key(spark, tmp_path):
+    house = Warehouse(spark, str(tmp_path), rows_per_slice=10)
+    house.ensure_schema()
+    house.upsert("dim_tickets_enriched", tickets(spark, [1, None], "old"), timestamp(NOW))
+    house.upsert("dim_tickets_enriched", tickets(spark, [None, 25], "new"), timestamp(LATER))
+    got = {r.id: r.name for r in house.read("dim_tickets_enriched").collect()}
+    assert got == {1: "old", None: "new", 25: "new"}

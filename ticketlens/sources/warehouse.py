@@ -19,6 +19,7 @@ from ticketlens.operators.upsert import latest_per_key, merge_snapshot
 from ticketlens.session import cut_lineage
 
 _WHOLE = 0  # the only slice of a table that is not split
+_NO_KEY = -1  # of rows whose key is NULL
 
 
 class Warehouse:
@@ -83,7 +84,8 @@ class Warehouse:
         key = schemas.WAREHOUSE[table].sliced_by
         if key is None:
             return F.lit(_WHOLE).cast("bigint")
-        return F.floor(F.col(key) / F.lit(self.rows_per_slice)).cast("bigint")
+        # whole-number division is exact for every key; rows without a key have a slice too
+        return F.coalesce(F.expr(f"`{key}` div {self.rows_per_slice}"), F.lit(_NO_KEY).cast("bigint"))
 
     def _commit(self, table: str, version: int, live: dict[int, int]) -> None:
         """Write the list under a passing name and rename it, which makes it count at once."""
