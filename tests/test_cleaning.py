@@ -175,3 +175,10 @@ def test_user_display_name(spark):
     )
     got = [r[0] for r in df.select(m.user_display_name(F.col("id"))).collect()]
     assert got == ["Doe  Ann", "login", "user #3", "Inconnu"]
+
+
+def test_flatten_cell_goes_through_three_lists_and_more(spark):
+    assert one(spark, "string", '[[[{"id":5}]]]', cleaning.flatten_cell) == "5"
+    assert one(spark, "string", '[[[[["x"]]]]]', cleaning.flatten_cell) == "x"
+    with pytest.raises(Exception, match="nests more lists"):
+        one(spark, "string", '[[[[[[["x"]]]]]]]', cleaning.flatten_cell)

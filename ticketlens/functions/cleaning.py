@@ -42,15 +42,19 @@ def _flatten_variant(v: Column, depth: int) -> Column:
         parts = F.transform(items, lambda item: _flatten_variant(item, depth - 1))
         first = F.get(F.filter(parts, lambda p: p.isNotNull() & (p != "")), F.lit(0))
         flat = flat.when(kind.startswith("ARRAY"), first)
+    else:
+        flat = flat.when(
+            kind.startswith("ARRAY"), F.raise_error(F.lit("cell nests more lists than depth allows"))
+        )
     return flat.otherwise(scalar)
 
 
-def flatten_cell(c: Column, depth: int = 2) -> Column:
+def flatten_cell(c: Column, depth: int = 5) -> Column:
     """Reduce a landed cell to one scalar text.
 
     A list gives its first element that is not empty, an object its first filled key of
     ``OBJECT_KEYS``; anything that is not JSON is already the scalar. ``depth`` is how many
-    lists may be nested.
+    lists may be nested; a deeper one is an error rather than raw JSON handed on.
     """
     # parsed once: the lambda binds the value that the branches below look at several times
     held = F.transform(
