@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,7 @@ def build_session(app: str = "ticketlens", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder; on a cluster a
+    Only a session in one process without the setting gets a temporary folder; on a cluster a
     machine-local folder would be lost with its machine, so that is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             folder = current
-        elif spark.sparkContext.master.startswith("local"):
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
             folder = tempfile.mkdtemp(prefix="ticketlens-")
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
