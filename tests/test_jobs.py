@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ticketlens.operators.filters import timestamp
 from ticketlens.plans import retrain
-from ticketlens.plans.ingest import load_batch
-from ticketlens.sources.landing import TICKET_FIELDS
+from ticketlens.plans.ingest import load_batch, rejects_path
+from ticketlens.sources.landing import DIMENSION_FIELDS, TICKET_FIELDS
 from ticketlens.sources.warehouse import Warehouse
 from ticketlens.streaming.alerts import alert_stream, run_alerts
 from ticketlens.streaming.ingest import run_ingest
@@ -74,8 +74,69 @@ def test_newest_copy_of_a_ticket_wins(spark, tmp_path):
     for field in TICKET_FIELDS.values():
         if field not in raw.columns:
             raw = raw.withColumn(field, F.lit(None).cast("string"))
-    load_batch(house, raw, {}, timestamp(NOW))
+    groups = spark.createDataFrame([('[{"id": 5}]', "g"), ("?", "h")], "id string, name string")
+    for field in DIMENSION_FIELDS["dim_groups"]:
+        if field not in groups.columns:
+            groups = groups.withColumn(field, F.lit(None).cast("string"))
+    rejected = load_batch(house, raw, {"dim_groups": groups}, timestamp(NOW), version=3)
+    assert rows(house.read("dim_groups").select("id", "name")) == [(5, "g")]
     assert rows(house.read("dim_tickets_enriched").select("id", "name")) == [(1, "new")]
+    assert rejected == {"dim_groups": 1, "dim_tickets_enriched": 1}
+    kept = spark.read.parquet(rejects_path(house, "dim_tickets_enriched", 3)).collect()
+    assert [json.loads(r.record) for r in kept] == [{"name": "x"}]
+
+
+def test_an_alert_dated_ahead_silences_nothing(spark, tmp_path):
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def land(*recos):
+        spark.createDataFrame(list(recos), RECO).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        feed = alert_stream(spark.readStream.schema(RECO).parquet(source))
+        run_alerts(feed, sink, state, availableNow=True).awaitTermination()
+        return [r[0] for r in rows(spark.read.parquet(sink).select("recommendation_id"))]
+
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    land(("ahead", "CRITIQUE", "t", None, now + dt.timedelta(days=400)))
+    assert run() == ["ahead"]
+    land(("today", "CRITIQUE", "t", None, now - dt.timedelta(days=1)))
+    assert run() == ["ahead", "today"]
+
+
+def test_clusters_of_an_earlier_run_do_not_stay(spark, tmp_path):
+    house = Warehouse(spark, str(tmp_path))
+
+    def clusters(algorithm, *counts):
+        return spark.createDataFrame(
+            [(i, algorithm, n) for i, n in enumerate(counts)], "cluster_id long, algorithm string, ticket_count long"
+        )
+
+    def held():
+        return rows(house.read("ml_clusters").select("algorithm", "ticket_count"))
+
+    house.replace("ml_clusters", clusters("kmeans", 7), timestamp(NOW), "algorithm", ["kmeans"])
+    house.replace("ml_clusters", clusters("dbscan", 10, 5), timestamp(NOW), "algorithm", ["dbscan"])
+    house.replace("ml_clusters", clusters("dbscan", 15), timestamp(NOW), "algorithm", ["dbscan"])
+    assert held() == [("dbscan", 15), ("kmeans", 7)]
+    assert str(house.read("ml_clusters").first().computed_at) == NOW
+    house.replace("ml_clusters", clusters("dbscan"), timestamp(NOW), "algorithm", ["dbscan"])
+    assert held() == [("kmeans", 7)]
+
+
+def test_the_promoted_model_is_loaded(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
+
+    root = str(tmp_path)
+    assert retrain.current_model(spark, root, "classifier") is None
+    frame = spark.range(1)
+    for value, mark in ((0.5, "a"), (0.7, "b"), (0.6, "c")):
+        step = SQLTransformer(statement=f"SELECT *, '{mark}' AS mark FROM __THIS__")
+        retrain._record(spark, root, "classifier", {"f1_macro": value}, "h", Pipeline(stages=[step]).fit(frame))
+    assert retrain.current_model(spark, root, "classifier").transform(frame).first().mark == "b"
+    retrain._record(spark, root, "sla_risk", {"f1": 0.0}, "h", None)
+    assert retrain.current_model(spark, root, "sla_risk") is None
 
 
 def test_promotion(spark, tmp_path):

@@ -64,12 +64,16 @@ def merge_snapshot(
     return joined.select(*[value(c).alias(c) for c in current.columns])
 
 
-def replace_by(current: DataFrame, batch: DataFrame, column: str) -> DataFrame:
+def replace_by(
+    current: DataFrame, batch: DataFrame, column: str, values: Sequence | None = None
+) -> DataFrame:
     """Drop every old row whose ``column`` value the batch carries, then add the batch.
 
     Use it for results that are recomputed whole per algorithm: rows that vanished do not stay.
+    ``values`` names what was recomputed, so that a batch without rows clears it too.
     """
-    names = batch.select(column).distinct()
-    return current.join(names, column, "left_anti").select(*current.columns).unionByName(
-        batch, allowMissingColumns=True
-    )
+    if values is None:
+        kept = current.join(batch.select(column).distinct(), column, "left_anti")
+    else:
+        kept = current.filter(~F.coalesce(F.col(column).isin(*values), F.lit(False)))
+    return kept.select(*current.columns).unionByName(batch, allowMissingColumns=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions.text import clean_tokens
 from ticketlens.operators import clustering, features, forecast, models, recommend, rollups
+from ticketlens.plans.retrain import current_model
 from ticketlens.session import cut_lineage
 from ticketlens.sources.warehouse import Warehouse
 
@@ -66,25 +67,41 @@ def infer(
     }
 
 
-def run(spark: SparkSession, root: str, now: Column, version: str = "") -> dict[str, int]:
-    """Score the warehouse below ``root`` and merge the results into it."""
+def run(
+    spark: SparkSession, root: str, now: Column, version: str = "",
+    rules: recommend.Rules = recommend.Rules(),
+) -> dict[str, int]:
+    """Score the warehouse below ``root`` and merge the results into it.
+
+    Models that retraining has promoted there are loaded; without one it is trained on the fly.
+    Cluster numbers are dealt anew in each run, so clusters replace those of their algorithm.
+    """
     warehouse = Warehouse(spark, root)
     warehouse.ensure_schema()
     tickets = warehouse.read("dim_tickets_enriched")
     if rollups.freshness_count(tickets, now).first()["recent"] == 0:
         print("no tickets modified in the last 24 h - scoring the whole table")
     out = {}
-    for table, rows in infer(tickets, now).items():
+    results = infer(
+        tickets, now, rules,
+        profile_model=current_model(spark, root, "classifier"),
+        risk_model=current_model(spark, root, "sla_risk"),
+    )
+    for table, rows in results.items():
         if table in ("ml_forecasts", "ml_sla_risk"):
             rows = rows.withColumn("model_version", F.lit(version))
-        out[table] = warehouse.upsert(table, rows, now)
+        if table == "ml_clusters":
+            out[table] = warehouse.replace(table, rows, now, "algorithm", ["dbscan"])
+        else:
+            out[table] = warehouse.upsert(table, rows, now)
     return out
 
 
-if __name__ == "__main__":  # spark-submit inference.py <warehouse root> <now>
+if __name__ == "__main__":  # spark-submit inference.py <warehouse root> <now> [rules file]
     import sys
 
     from ticketlens.operators.filters import timestamp
     from ticketlens.session import build_session
 
-    run(build_session("inference"), sys.argv[1], timestamp(sys.argv[2]))
+    chosen = recommend.load_rules(sys.argv[3] if len(sys.argv) > 3 else None)
+    run(build_session("inference"), sys.argv[1], timestamp(sys.argv[2]), rules=chosen)

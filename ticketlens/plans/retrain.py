@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +28,31 @@ def promotes(new: float, current: float | None, higher_is_better: bool) -> bool:
     return new >= current if higher_is_better else new <= current
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def history(spark: SparkSession, root: str) -> DataFrame:
     path = f"{root}/model_history"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    if not _exists(spark, path):
         return spark.createDataFrame([], _LAYOUT)
     return spark.read.schema(_LAYOUT).parquet(path)
 
 
+def _pipeline_path(root: str, model: str, version: int) -> str:
+    return f"{root}/models/{model}/version={version:06d}"
+
+
+def current_model(spark: SparkSession, root: str, model: str) -> PipelineModel | None:
+    """The pipeline promoted last; None before the first, or where that version has none."""
+    promoted = history(spark, root).filter((F.col("model") == model) & F.col("promoted"))
+    version = promoted.agg(F.max("version")).first()[0]
+    if version is None or not _exists(spark, _pipeline_path(root, model, version)):
+        return None
+    return PipelineModel.load(_pipeline_path(root, model, version))
+
+
 def _record(spark, root, model: str, figures: dict[str, float], input_hash: str, saved) -> dict:
     """Compare with the promoted version, append the metrics, save the pipeline if there is one."""
     known = history(spark, root).filter(F.col("model") == model)
@@ -48,7 +66,7 @@ def _record(spark, root, model: str, figures: dict[str, float], input_hash: str,
     version = last + 1
     promoted = promotes(figures.get(metric, 0.0), current[0]["value"] if current else None, higher)
     if saved is not None:
-        saved.write().overwrite().save(f"{root}/models/{model}/version={version:06d}")
+        saved.write().overwrite().save(_pipeline_path(root, model, version))
     rows = [(model, version, name, float(v), promoted, input_hash) for name, v in figures.items()]
     spark.createDataFrame(rows, _LAYOUT).coalesce(1).write.mode("append").parquet(
         f"{root}/model_history"

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens import schemas
-from ticketlens.operators.upsert import latest_per_key, merge_snapshot
+from ticketlens.operators.upsert import latest_per_key, merge_snapshot, replace_by
 from ticketlens.session import cut_lineage
 
 _WHOLE = 0  # the only slice of a table that is not split
@@ -136,6 +136,16 @@ class Warehouse:
         extra = [F.col(c) for c in more if c not in layout.names]
         return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in present], *extra)
 
+    def replace(
+        self, table: str, rows: DataFrame, now: Column, column: str, values
+    ) -> int:
+        """Put ``rows`` in place of all rows whose ``column`` is one of ``values``."""
+        spec = schemas.WAREHOUSE[table]
+        fresh = self._conform(table, rows).withColumns(
+            {c: now for c in (*spec.stamped, *spec.stamped_on_insert)}
+        )
+        return self.publish(table, replace_by(self.read(table), fresh, column, values))
+
     def upsert(
         self, table: str, batch: DataFrame, now: Column, order_by=(), version: int | None = None
     ) -> int:
