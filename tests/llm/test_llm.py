@@ -114,6 +114,42 @@ def test_near_duplicates(docs, empty):
     assert circulant_minhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("stars", [1, 3])
+def test_near_duplicates_inside_a_group_of_copies(spark, stars):
+    rng = random.Random(stars)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(90)]
+
+    def edited(text, n):
+        out = list(text)
+        for _ in range(n):
+            out[rng.randrange(len(out))] = rng.choice(words)
+        return out
+
+    texts = [edited(base, rng.choice([2, 4, 6])) for _ in range(120)]
+    texts += [edited(rng.choice(texts), rng.choice([1, 2, 3])) for _ in range(60)]
+    texts += [t[rng.randrange(12):] for t in texts[:30]]
+    rng.shuffle(texts)
+    sets = [{tuple(t[k : k + 3]) for k in range(len(t) - 2)} for t in texts]
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    want = {i: top(i) for i in range(len(sets))}
+    assert 5 < len(set(want.values())) < len(sets) - 20
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = circulant_minhash.near_duplicates(df, width=3, percent=85, bands=30, stars=stars)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_circulant_signature_estimates_overlap():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 1200).astype(np.uint64)

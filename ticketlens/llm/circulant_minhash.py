@@ -7,9 +7,10 @@ every coordinate, and all coordinates of a shingle are one contiguous slice of t
 Links: documents with equal shingle sets become one class first, so a group of copies costs one
 row per document and no pairs. Classes meet in bands. A round picks one centre per bucket and
 compares the other members with it, on the whole sets; what linked is joined into components,
-and only members of other components are compared in the next round. The last round compares
-whatever is left in a bucket, without any cap, so no link between classes is passed over; a
-bucket that has grown into one component is never compared pair by pair.
+and only members of other components are compared in the next round. The last round finds every
+link left in a bucket, without a cap: the members' differences from the bucket's centre are
+joined by a prefix filter (see ``_deltas``), so members that differ from the centre in different
+places never meet, however many they are.
 """
 
 from __future__ import annotations
@@ -131,6 +132,76 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def _deltas(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(c, token, mark, label, n, d, f, at, index, probe): what the last round joins.
+
+    D(x) is the symmetric difference of a member's set and its centre's; two members' sets
+    differ by as much as their D do. With Q = 100 + percent, P = 100 - percent and
+    F(x) = Q |D(x)| - P |x|, a link between a and b means |D(a) & D(b)| >= (F(a) + F(b)) / 2Q.
+    Of two members in different components one at least is not linked to the centre, and that
+    means F > P |c|; so the bound is above 0 and the first common element, in any fixed order,
+    lies within the first |D| - bound + 1 elements of both. The member of the smaller F is met
+    through ``index``, the other one through ``probe`` elements. Elements the centre lacks come
+    first: members seldom share them.
+    """
+    q, p = 100 + percent, 100 - percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hub = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            centres, loose = batch.column("c").to_pylist(), batch.column("loose").to_pylist()
+            for start, stop in text_slices(batch, "tb"):
+                own = shingle_sets(batch.column("tb").slice(start, stop - start), width)
+                for i, mine in zip(range(start, stop), own):
+                    if last != centres[i]:
+                        last = centres[i]
+                        hub = next(shingle_sets(batch.column("ta").slice(i, 1), width))
+                    more = np.setdiff1d(mine, hub, assume_unique=True)
+                    less = np.setdiff1d(hub, mine, assume_unique=True)
+                    d = len(more) + len(less)
+                    f, apart = q * d - p * len(mine), p * len(hub) + 1
+                    lowest = 2 * percent - p * len(hub) if loose[i] else apart
+                    index = d - -(-(f + max(f, apart)) // (2 * q)) + 1
+                    probe = d - -(-(f + lowest) // (2 * q)) + 1 if f >= apart else 0
+                    m = max(min(max(index, probe), d), 0)
+                    tokens = np.concatenate((more, less))[:m].view(np.int64)
+                    at = np.arange(m)
+                    one = batch.slice(i, 1).select(["c", "mark", "label"])
+                    same = one.take(pa.array(np.zeros(m, np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [*same.columns, pa.array(tokens), pa.array(at), pa.array(at < index),
+                         pa.array(at < probe), *(pa.array(np.full(m, v, np.int64)) for v in (len(mine), d, f))],
+                        names=["c", "mark", "label", "token", "at", "index", "probe", "n", "d", "f"],
+                    )
+
+    left = texts.select(F.col("mark").alias("c"), F.col("t").alias("ta"))
+    right = texts.select("mark", F.col("t").alias("tb"))
+    pairs = rows.join(right, "mark").join(left, "c").select("c", "mark", "label", "loose", "ta", "tb")
+    return pairs.mapInArrow(
+        run, "c binary, mark binary, label binary, token bigint, at bigint, index boolean, "
+        "probe boolean, n bigint, d bigint, f bigint",
+    )
+
+
+def _meetings(deltas: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one centre whose first common difference leaves room for a link."""
+    x, y = deltas.filter("index").alias("x"), deltas.filter("probe").alias("y")
+    need = F.col("x.f") + F.col("y.f")
+    room = 2 * (100 + percent)
+    met = x.join(
+        y,
+        (F.col("x.c") == F.col("y.c")) & (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.label") != F.col("y.label"))
+        & (F.struct("x.f", "x.mark") < F.struct("y.f", "y.mark"))
+        & ((F.col("x.d") - F.col("x.at")) * room >= need)
+        & ((F.col("y.d") - F.col("y.at")) * room >= need)
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")),
+    )
+    return met.select(
+        F.least("x.mark", "y.mark").alias("a"), F.greatest("x.mark", "y.mark").alias("b")
+    ).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5,
     percent: int = 80, bands: int = 40, rows: int = 6, stars: int = 3, seed: int = 11,
@@ -145,8 +216,11 @@ def near_duplicates(
     NULL, empty and blank texts have no shingles and link with nothing. A NULL id is linked with
     nothing either (``component_id`` NULL, kept). Rows that repeat an id are one document: links
     of any of its texts count for all of them, and each row is returned. Other columns are not
-    looked at, whatever their names. An empty table gives an empty result.
+    looked at, whatever their names. An empty table gives an empty result. ``stars`` is the
+    number of rounds with centres, one at least.
     """
+    if stars < 1:
+        raise ValueError("stars must be 1 or more")
     marked = save(
         signatures(docs, id_col, text, width, bands, rows, seed), "minhash-marks"
     )
@@ -182,22 +256,28 @@ def near_duplicates(
         centre = F.struct(
             F.col("mark").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")
         )
-        # the first centre is the smallest id in every band, so that most bands name the same
-        # pairs; later ones differ from band to band and from round to round
-        order = F.struct("id", "mark") if turn == 0 else F.xxhash64("mark", "band", F.lit(turn))
+        # the first and the last centre are the smallest id in every band, so that most bands
+        # name the same pairs; others differ from band to band and from round to round
+        by_id = turn in (0, stars)
+        order = F.struct("id", "mark") if by_id else F.xxhash64("mark", "band", F.lit(turn))
         open_ = at.groupBy("band", "key").agg(
             F.min("label").alias("lo"), F.max("label").alias("hi"),
-            F.min_by(centre, order).alias("m"),
+            F.min_by(centre, order).alias("m"), F.count(F.lit(1)).alias("size"),
         ).filter("lo < hi")
         if turn < stars:
             met = at.join(open_.select("band", "key", "m.*"), ["band", "key"]).filter("label <> cl")
-        else:
-            left = at.join(open_.select("band", "key"), ["band", "key"])
-            other = left.select("band", "key", centre.alias("m")).select("band", "key", "m.*")
-            met = left.join(other, ["band", "key"]).filter("label < cl")
-        fresh = met.filter(  # no larger overlap than the smaller set
-            100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")
-        ).select(F.col("c").alias("a"), F.col("mark").alias("b")).distinct()
+            fresh = met.filter(  # no larger overlap than the smaller set
+                100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")
+            ).select(F.col("c").alias("a"), F.col("mark").alias("b")).distinct()
+        else:  # every member has been compared with this centre in the first round
+            met = at.join(
+                open_.filter("size > 2").select("band", "key", "m.*"), ["band", "key"]
+            ).filter("mark <> c")
+            own = met.groupBy("band", "key").agg(F.max(F.col("label") == F.col("cl")).alias("loose"))
+            met = met.join(own, ["band", "key"]).groupBy("c", "mark").agg(
+                F.first("label").alias("label"), F.max("loose").alias("loose")
+            )
+            fresh = _meetings(save(_deltas(met, texts, width, percent), "minhash-deltas"), percent)
         if tried is not None:
             backward = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
             fresh = fresh.join(tried.unionByName(backward), ["a", "b"], "left_anti")
