@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm import (
-    bounded_packing, circulant_minhash, decontaminate, induced_dedup, line_quality, line_runs,
+    bitmap_join, bounded_packing, circulant_minhash, decontaminate, induced_dedup, line_quality, line_runs,
     preferences, pseudonyms, pu_toxicity, recurrent_lm,
 )
 from ticketlens.llm.common import table
@@ -87,12 +87,16 @@ def op10_induced_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_bitmap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitmap_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_preferences, op2_line_runs, op3_pseudonyms, op4_recurrent_lm, op5_decontaminate,
         op6_line_quality, op7_pu_toxicity, op8_circulant_minhash, op9_bounded_packing,
-        op10_induced_dedup,
+        op10_induced_dedup, op13_bitmap_join,
     )
 }
 
