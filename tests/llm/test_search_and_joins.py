@@ -85,3 +85,51 @@ def test_bands_bound_the_size_ratio():
             if a <= b and 100 * a >= 90 * b:
                 assert band[b] - band[a] <= 1
     assert all(bitmap_join.bitmap_words(k, 90) * 64 >= 2 * (edges[k + 2] - 1) for k in range(len(edges) - 3))
+
+
+def brute_phrases(rows, shortest, longest, least, top):
+    f, n = Counter(), Counter()
+    for _, text, _, lang in rows:
+        lang = lang or "und"
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = [x for x in re.split(r"[\x20\x09]+", piece) if x]
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    f[lang, " ".join(w[i : i + k])] += 1
+    out = []
+    for (lang, p), a in f.items():
+        w = p.split(" ")
+        if not (shortest <= len(w) <= longest and a >= least):
+            continue
+        if any(len(q.split(" ")) == len(w) + 1 and b >= a and (q.split(" ")[1:] == w or q.split(" ")[:-1] == w)
+               for (g, q), b in f.items() if g == lang):
+            continue
+        cuts = []
+        for k in range(1, len(w)):
+            l, r = f[lang, " ".join(w[:k])], f[lang, " ".join(w[k:])]
+            cuts.append((1000 * a * n[lang] // (l * r), k, l, r))
+        score, _, l, r = min(cuts)
+        out.append((lang, p, a, l, r, n[lang], score))
+    ranked = []
+    for lang in {o[0] for o in out}:
+        mine = sorted((o for o in out if o[0] == lang), key=lambda o: (-o[6], -o[2], o[1].encode()))
+        ranked += [(o[0], i + 1, *o[1:]) for i, o in enumerate(mine[:top])]
+    return sorted(ranked)
+
+
+def test_phrase_graph(spark):
+    from ticketlens.llm import phrase_graph
+
+    rng = random.Random(3)
+    words = ["ab", "Cd", "ef", "gh", "ij", "é", "x\ty"]
+    rows = []
+    for i in range(60):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
+        text = text.replace(" gh ", ". gh ").replace(" ij ", "\nij ")
+        rows.append((i, text, 0, rng.choice(["en", None, "fr"])))
+    rows += [(60, None, 0, "en"), (61, "ab cd ef gh ij " * 30, 0, "en"), rows[5], (62, "x" * 100000, 0, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(tuple(r) for r in phrase_graph.collocations(docs, 2, 5, 3, 7).collect())
+    assert got == brute_phrases(rows, 2, 5, 3, 7)
+    assert phrase_graph.collocations(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm import (
-    bitmap_join, bounded_packing, circulant_minhash, decontaminate, induced_dedup, line_quality, line_runs,
+    bitmap_join, bounded_packing, circulant_minhash, decontaminate, induced_dedup, line_quality, line_runs, phrase_graph,
     preferences, pseudonyms, pu_toxicity, recurrent_lm,
 )
 from ticketlens.llm.common import table
@@ -91,12 +91,18 @@ def op13_bitmap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitmap_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op12_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_graph.collocations(
+        table(spark, sf_dir, "documents"), shortest=2, longest=5, min_count=100, top=2000
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_preferences, op2_line_runs, op3_pseudonyms, op4_recurrent_lm, op5_decontaminate,
         op6_line_quality, op7_pu_toxicity, op8_circulant_minhash, op9_bounded_packing,
-        op10_induced_dedup, op13_bitmap_join,
+        op10_induced_dedup, op12_phrase_graph, op13_bitmap_join,
     )
 }
 
@@ -238,3 +244,39 @@ shared AS (
 SELECT x AS doc_id, coalesce(max(n), 0) AS n_shingles, min(y) AS component_id, min(y) = x AS kept
 FROM reach LEFT JOIN size ON size.doc_id = x GROUP BY x""",
 }
+ORACLES["op12_phrase_graph"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i
+        FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) ks WHERE len(w) >= k)
+), c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang),
+cand AS (
+  SELECT c.* FROM c WHERE k >= 2 AND f >= 100 AND NOT EXISTS (
+    SELECT 1 FROM c q WHERE q.lang = c.lang AND q.k = c.k + 1 AND 100 * q.f >= 100 * c.f
+      AND (array_to_string(string_split(q.phrase, ' ')[1:c.k], ' ') = c.phrase
+        OR array_to_string(string_split(q.phrase, ' ')[2:c.k + 1], ' ') = c.phrase))
+), cut AS (
+  SELECT cand.lang, cand.phrase, cand.f AS a, x.cut, n.n,
+    array_to_string(string_split(cand.phrase, ' ')[1:x.cut], ' ') AS first,
+    array_to_string(string_split(cand.phrase, ' ')[x.cut + 1:cand.k], ' ') AS rest
+  FROM cand JOIN n USING (lang), (SELECT unnest([1, 2, 3, 4]) AS cut) x WHERE x.cut < cand.k
+), s AS (
+  SELECT cut.*, l.f AS l, r.f AS r,
+    CAST((1000::HUGEINT * cut.a * cut.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cut JOIN c l ON l.lang = cut.lang AND l.phrase = cut.first
+  JOIN c r ON r.lang = cut.lang AND r.phrase = cut.rest
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS pick FROM s
+)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank,
+  phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM b WHERE pick = 1
+QUALIFY rank <= 2000"""
