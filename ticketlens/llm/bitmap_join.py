@@ -92,39 +92,70 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.searchsorted(starts, offsets)
 
 
+def batch_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's sorted distinct 64-bit shingle hashes, as values and n + 1 offsets."""
+    hashes, bounds = _word_hashes(*raw_bytes(texts))
+    counts = np.diff(bounds)
+    # rolling hash of every run of ``width`` words in the batch; runs across texts are dropped
+    size = len(hashes) - width + 1
+    total = np.full(max(size, 0), np.uint64(width) * _SEED, np.uint64)
+    for j in range(width):
+        total = mix(total ^ hashes[j : j + len(total)]) + np.uint64(j + 1)
+    owner = np.repeat(np.arange(len(counts)), counts)[: len(total)]
+    inside = np.arange(len(total)) + width <= bounds[1:][owner] if len(total) else np.zeros(0, bool)
+    values, owners = mix(total[inside]), owner[inside]
+    short = np.flatnonzero((counts > 0) & (counts < width))  # fewer words: the whole sequence
+    if len(short):
+        extra = []
+        for t in short:
+            words = hashes[bounds[t] : bounds[t + 1]]
+            one = np.array([np.uint64(len(words)) * _SEED], np.uint64)
+            for j, w in enumerate(words):
+                one = mix(one ^ w) + np.uint64(j + 1)
+            extra.append(mix(one)[0])
+        values = np.concatenate((values, np.array(extra, np.uint64)))
+        owners = np.concatenate((owners, short))
+    order = np.lexsort((values, owners))
+    values, owners = values[order], owners[order]
+    first = np.ones(len(values), bool)
+    first[1:] = (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])
+    values, owners = values[first], owners[first]
+    offsets = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(np.bincount(owners, minlength=len(counts)), out=offsets[1:])
+    return values, offsets
+
+
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    hashes, bounds = _word_hashes(*raw_bytes(texts))
-    for start, stop in zip(bounds[:-1], bounds[1:]):
-        words = hashes[start:stop]
-        if not len(words):
-            yield np.zeros(0, np.uint64)
-            continue
-        size = min(width, len(words))
-        total = np.full(len(words) - size + 1, np.uint64(size) * _SEED, np.uint64)
-        for j in range(size):
-            total = mix(total ^ words[j : len(words) - size + 1 + j]) + np.uint64(j + 1)
-        yield np.unique(mix(total))
-
-
-def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    values, offsets = batch_sets(texts, width)
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        yield values[a:b]
+
+
+def _sets(docs: DataFrame, width: int, percent: int, with_sets: bool = True) -> DataFrame:
+    """doc_id, n_shingles, the order-free set key k1 and k2, band (and the set itself)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), width))
-            sizes = np.array([len(s) for s in sets], np.int64)
-            k1 = np.array([int(mix(s).sum()) for s in sets], np.uint64)
-            k2 = np.array([int(np.bitwise_xor.reduce(mix(s ^ _SEED), initial=0)) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(k1.view(np.int64)),
-                 pa.array(k2.view(np.int64)), pa.array(band_of(sizes, percent).astype(np.int32)),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "k1", "k2", "band", "shingles"],
-            )
+            values, offsets = batch_sets(batch.column("text"), width)
+            sizes = np.diff(offsets)
+            full = sizes > 0
+            k1 = np.zeros(len(sizes), np.uint64)
+            k2 = np.zeros(len(sizes), np.uint64)
+            if len(values):
+                k1[full] = np.add.reduceat(mix(values), offsets[:-1][full])
+                k2[full] = np.bitwise_xor.reduceat(mix(values ^ _SEED), offsets[:-1][full])
+            columns = [batch.column("doc_id"), pa.array(sizes), pa.array(k1.view(np.int64)),
+                       pa.array(k2.view(np.int64)), pa.array(band_of(sizes, percent).astype(np.int32))]
+            names = ["doc_id", "n_shingles", "k1", "k2", "band"]
+            if with_sets:
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64))))
+                names.append("shingles")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(
-        run, "doc_id long, n_shingles long, k1 long, k2 long, band int, shingles array<long>"
-    )
+    schema = "doc_id long, n_shingles long, k1 long, k2 long, band int"
+    return rows.mapInArrow(run, schema + (", shingles array<long>" if with_sets else ""))
 
 
 def _tile_links(percent: int):
@@ -142,9 +173,9 @@ def _tile_links(percent: int):
         sets = [values[offsets[i] : offsets[i + 1]] for i in range(len(lists))]
         sizes = np.array([len(s) for s in sets], np.int64)
         maps = np.zeros((len(sets), words), np.uint64)
-        for i, s in enumerate(sets):
-            spot = (s % np.uint64(words * 64)).astype(np.int64)
-            np.bitwise_or.at(maps[i], spot >> 6, np.left_shift(np.uint64(1), (spot & 63).astype(np.uint64)))
+        spot = (values[offsets[0] : offsets[-1]] % np.uint64(words * 64)).astype(np.int64)
+        row = np.repeat(np.arange(len(sets)), np.diff(offsets))
+        np.bitwise_or.at(maps, (row, spot >> 6), np.left_shift(np.uint64(1), (spot & 63).astype(np.uint64)))
         left = np.flatnonzero(side == 0)
         right = left if diagonal else np.flatnonzero(side == 1)
         parent = np.arange(len(sets))
@@ -218,17 +249,20 @@ def jaccard_components(
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     key = ["n_shingles", "k1", "k2"]
-    sets = save(_sets(docs, width, percent), "jaccard-sets")
+    # the keys are stored; the sets are made again where they are needed, which costs less
+    # than writing them
+    sets = save(_sets(docs, width, percent, with_sets=False), "jaccard-keys")
     linkable = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    reps = save(
-        linkable.groupBy(*key).agg(
-            F.min("doc_id").alias("doc_id"), F.first("band").alias("band"),
-            F.min_by("shingles", "doc_id").alias("shingles"),
-        ),
-        "jaccard-reps",
+    reps = (
+        _sets(docs, width, percent)
+        .filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+        .groupBy(*key)
+        .agg(F.min("doc_id").alias("doc_id"), F.first("band").alias("band"),
+             F.min_by("shingles", "doc_id").alias("shingles"))
     )
+    distinct = linkable.groupBy(*key).agg(F.first("band").alias("band"))
     # one row per band: as many rows as bands, about 400 for sizes up to 2^62
-    per_band = reps.groupBy("band").agg(F.sum("n_shingles").alias("total")).collect()
+    per_band = distinct.groupBy("band").agg(F.sum("n_shingles").alias("total")).collect()
     chunks = {r["band"]: max(1, -(-int(r["total"]) // chunk_shingles)) for r in per_band}
     if chunks:
         roles, here = _tiles(chunks)
@@ -247,7 +281,7 @@ def jaccard_components(
     roots = connected_components(links).select(F.col("node").alias("rep"), "root")
     labels = (
         linkable.select("doc_id", *key)
-        .join(reps.select(F.col("doc_id").alias("rep"), *key), key)
+        .join(linkable.groupBy(*key).agg(F.min("doc_id").alias("rep")), key)
         .join(roots, "rep", "left")
         .select("doc_id", *key, F.coalesce("root", "rep").alias("component_id"))
         .distinct()
