@@ -133,3 +133,62 @@ def test_phrase_graph(spark):
     got = sorted(tuple(r) for r in phrase_graph.collocations(docs, 2, 5, 3, 7).collect())
     assert got == brute_phrases(rows, 2, 5, 3, 7)
     assert phrase_graph.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def brute_search(docs, items, k):
+    terms = [TERM.findall((t or "").translate(LOWER)) for _, t, *_ in docs]
+    big_n, big_l = sum(1 for t in terms if t), sum(len(t) for t in terms)
+    df = Counter(x for t in terms for x in set(t))
+    out = []
+    queries = {}
+    for item, text in items:
+        queries.setdefault(item, set()).update(TERM.findall((text or "").translate(LOWER)))
+    for item, q in queries.items():
+        scored = []
+        for (doc, *_), t in zip(docs, terms):
+            tf, n = Counter(t), len(t)
+            if not n:
+                continue
+            m = 50 + (50 * n * big_n) // big_l
+            s = sum(math.floor(1000 * math.log((2 * big_n + 2) / (2 * df[x] + 1))) * ((10**9 * tf[x]) // (1000 * tf[x] + 20 * m))
+                    for x in q if tf[x])
+            if s > 0:
+                scored.append((s, doc))
+        scored.sort(key=lambda p: (-p[0], float("inf") if p[1] is None else p[1]))
+        out += [(item, i + 1, d, s) for i, (s, d) in enumerate(scored[:k])]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("shard_rows,leaf", [(20000, 32), (7, 2)])
+def test_ball_search_equals_brute_force(spark, shard_rows, leaf):
+    from ticketlens.llm import ball_search
+
+    rng = random.Random(11)
+    words = ["Alpha", "beta", "gamma", "délta", "e1", "zz", "x_y", "naïve", "42"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30))), 0, "en") for i in range(80)]
+    rows += [(80, None, 0, "en"), (81, "", 0, "en"), (82, "beta " * 5000, 0, "en"), rows[4], (None, "gamma beta", 0, "en")]
+    rows += [(83 + i, "alpha beta gamma", 0, "en") for i in range(6)]  # ties
+    items = [(1, "alpha beta"), (2, "Gamma, naïve!"), (3, None), (4, "zz"), (5, "unknown words"), (2, "e1")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = ball_search.rank(docs, bench, k=5, shard_rows=shard_rows, leaf_size=leaf).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_search(rows, items, 5)
+
+
+def test_ball_tree_bounds_hold():
+    import numpy as np
+    from ticketlens.llm import ball_search
+
+    rng = np.random.default_rng(5)
+    dense = rng.integers(0, 4, (300, 12)) * rng.integers(1, 10**9, (1, 12)) * (rng.random((300, 12)) < 0.3)
+    indptr = np.concatenate(([0], np.cumsum((dense != 0).sum(1))))
+    indices, values = np.nonzero(dense)[1], dense[dense != 0]
+    tree = ball_search.BallTree(indptr, indices, values.astype(np.int64), 12, 4)
+    ids = np.arange(300, dtype=float)
+    for q in ([0], [1, 2, 3], list(range(12))):
+        want = sorted(((int(dense[i, q].sum()), -i) for i in range(300) if dense[i, q].sum() > 0), reverse=True)[:10]
+        got = sorted(((s, int(i)) for s, i, _ in tree.search(np.array(q), ids, 10)), reverse=True)
+        assert got == [(s, i) for s, i in want]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm import (
-    bitmap_join, bounded_packing, circulant_minhash, decontaminate, induced_dedup, line_quality, line_runs, phrase_graph,
+    ball_search, bitmap_join, bounded_packing, circulant_minhash, decontaminate, induced_dedup, line_quality, line_runs, phrase_graph,
     preferences, pseudonyms, pu_toxicity, recurrent_lm,
 )
 from ticketlens.llm.common import table
@@ -91,6 +91,10 @@ def op13_bitmap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitmap_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op11_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op12_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_graph.collocations(
         table(spark, sf_dir, "documents"), shortest=2, longest=5, min_count=100, top=2000
@@ -102,7 +106,7 @@ QUERIES = {
     for f in (
         op1_preferences, op2_line_runs, op3_pseudonyms, op4_recurrent_lm, op5_decontaminate,
         op6_line_quality, op7_pu_toxicity, op8_circulant_minhash, op9_bounded_packing,
-        op10_induced_dedup, op12_phrase_graph, op13_bitmap_join,
+        op10_induced_dedup, op11_ball_search, op12_phrase_graph, op13_bitmap_join,
     )
 }
 
@@ -280,3 +284,25 @@ SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DE
   phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
 FROM b WHERE pick = 1
 QUALIFY rank <= 2000"""
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+ORACLES["op11_ball_search"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS big_n, sum(len(t)) AS big_l FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (
+  SELECT rid, doc_id, n, term, count(*) AS tf
+  FROM (SELECT rid, doc_id, len(t) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+c AS (
+  SELECT p.rid, p.doc_id, p.term,
+    CAST(floor(1000 * ln((2.0 * s.big_n + 2) / (2.0 * df.df + 1))) AS BIGINT)
+    * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * p.n * s.big_n) // s.big_l))) AS v
+  FROM p JOIN df USING (term), s
+), sc AS (SELECT q.item_id, c.rid, c.doc_id, sum(c.v) AS score FROM q JOIN c USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, rid) AS INTEGER) AS rank,
+  doc_id, CAST(score AS BIGINT) AS score
+FROM sc WHERE score > 0 QUALIFY rank <= 50"""
