@@ -10,16 +10,19 @@ per document with the smallest doc_id its links reach.
 2. Sizes fall into bands ``e_0 = 1``, ``e_(k+1) = floor(100 e_k / percent) + 1``: sets two bands
    apart cannot link (their size ratio alone is below ``percent``). Family ``k`` holds the pairs of
    band ``k`` with bands ``k`` and ``k + 1``.
-3. Each band is dealt by id hash into chunks of at most ``chunk_shingles`` shingles; a *tile* is a
-   pair of chunks of one family, and one task. It builds a bitmap of ``m_k`` bits per set (one
-   bit per shingle hash). Every bit set in ``a xor b`` stands for a different element of the
-   symmetric difference, so ``|A & B| <= (|A| + |B| - popcount(a xor b)) / 2``; only pairs
-   whose bound still allows a link have their sorted arrays intersected, and pairs that the
-   tile's union-find already joined are not compared again. A tile emits a spanning forest of
-   its links, never all pairs of a group.
+3. Bands are laid out in order into *chunks* of at most ``chunk_shingles`` shingles: small bands
+   share a chunk, a large band is dealt by id hash into chunks of its own. A *tile* is a pair of
+   chunks that can hold a linking pair (their bands at most one apart), and one task; a set goes
+   to the tiles of its own chunk and, when its band borders another chunk's, to those too. The
+   task builds a bitmap per set (twice the tile's largest size in bits, one bit per shingle
+   hash). Every bit of ``a xor b`` stands for a different element of the symmetric difference,
+   so ``|A & B| <= (|A| + |B| - popcount(a xor b)) / 2``; only pairs whose bound still allows a
+   link have their sorted arrays intersected, and pairs that the tile's union-find already
+   joined are not compared again. A tile emits a spanning forest of its links, never all pairs
+   of a group.
 4. Components of the forests by large-star/small-star rounds.
 
-Work grows with the pairs inside a family of bands (the method compares every pair of a tile by
+Work grows with the pairs inside neighbouring bands (the method compares every pair of a tile by
 bitmap); nothing is capped or sampled.
 
 Cases: NULL or blank text: empty set, component is the document itself. NULL doc_id: its row is
@@ -65,11 +68,9 @@ def band_of(sizes: np.ndarray, percent: int) -> np.ndarray:
     return np.searchsorted(bands(percent), sizes, "right") - 1
 
 
-def bitmap_words(family: int, percent: int) -> int:
-    """64-bit words of family ``family``'s bitmaps: twice its largest size or more."""
-    edges = bands(percent)
-    largest = int(edges[min(family + 2, len(edges) - 1)]) - 1
-    return max(1, 1 << max(0, (2 * largest - 1).bit_length() - 6))
+def bitmap_words(largest: int) -> int:
+    """64-bit words of a tile's bitmaps: at least twice its largest set in bits."""
+    return max(1, 1 << max(0, (2 * int(largest) - 1).bit_length() - 6))
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +163,7 @@ def _tile_links(percent: int):
     """A tile's task: bitmap bound, then exact intersection; a spanning forest of its links."""
 
     def run(table: pa.Table) -> pa.Table:
-        family = table.column("family")[0].as_py()
-        diagonal = table.column("diagonal")[0].as_py()
-        words = bitmap_words(family, percent)
+        diagonal = table.column("x")[0].as_py() == table.column("y")[0].as_py()
         side = table.column("side").to_numpy()
         ids = table.column("doc_id").to_numpy()
         lists = table.column("shingles").combine_chunks()
@@ -172,6 +171,7 @@ def _tile_links(percent: int):
         offsets = lists.offsets.to_numpy()
         sets = [values[offsets[i] : offsets[i + 1]] for i in range(len(lists))]
         sizes = np.array([len(s) for s in sets], np.int64)
+        words = bitmap_words(sizes.max(initial=1))
         maps = np.zeros((len(sets), words), np.uint64)
         spot = (values[offsets[0] : offsets[-1]] % np.uint64(words * 64)).astype(np.int64)
         row = np.repeat(np.arange(len(sets)), np.diff(offsets))
@@ -214,33 +214,39 @@ def _tile_links(percent: int):
     return run
 
 
-def _upto(n):
-    """0 .. n - 1 as an array of longs; empty for n <= 0."""
-    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))).otherwise(
-        F.array().cast("array<long>")
-    )
-
-
-def _tiles(chunks: dict[int, int]):
-    """Every tile a set takes part in, as (family, i, band2, j, side)."""
-    count_of = F.create_map(*[x for b, c in sorted(chunks.items()) for x in (F.lit(b), F.lit(c))])
-    here = F.coalesce(count_of[F.col("band")], F.lit(0)).cast("long")
-    above = F.coalesce(count_of[F.col("band") + 1], F.lit(0)).cast("long")
-    below = F.coalesce(count_of[F.col("band") - 1], F.lit(0)).cast("long")
-    band, chunk = F.col("band"), F.col("chunk")
-
-    def tile(family, i, band2, j, side):
-        return F.struct(family.alias("family"), i.alias("i"), band2.alias("band2"), j.alias("j"),
-                        F.lit(side).alias("side"))
-
-    return F.concat(
-        # left side: its own band from its own chunk on (the diagonal tile included), the band above
-        F.transform(F.filter(_upto(here), lambda j: j >= chunk), lambda j: tile(band, chunk, band, j, 0)),
-        F.transform(_upto(above), lambda j: tile(band, chunk, band + 1, j, 0)),
-        # right side: the lower chunks of its own band, every chunk of the band below
-        F.transform(_upto(chunk), lambda i: tile(band, i, band, chunk, 1)),
-        F.transform(_upto(below), lambda i: tile(band - 1, i, band, chunk, 1)),
-    ), here
+def layout(totals: dict[int, int], chunk_shingles: int) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int]]]:
+    """Chunks over the bands in order: band -> (first chunk, chunks dealt by hash), and each
+    chunk's (lowest, highest) band."""
+    place, spans = {}, []
+    load = chunk_shingles  # the running chunk is full: the next band opens one
+    for band in sorted(totals):
+        total = totals[band]
+        if total > chunk_shingles:
+            parts = -(-total // chunk_shingles)
+            place[band] = (len(spans), parts)
+            spans += [(band, band)] * parts
+            load = chunk_shingles
+            continue
+        if load + total > chunk_shingles or spans[-1][1] < band - 1:
+            spans.append((band, band))
+            load = 0
+        place[band] = (len(spans) - 1, 1)
+        spans[-1] = (spans[-1][0], band)
+        load += total
+    return place, spans
+
+
+def tiles_of(place: dict[int, tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(chunk, band, x, y): the tiles (x, y), x <= y, that sets of ``band`` in ``chunk`` join."""
+    out = []
+    for band, (first, parts) in place.items():
+        for chunk in range(first, first + parts):
+            for other, (low, high) in enumerate(spans):
+                if other >= chunk and low <= band + 1:
+                    out.append((chunk, band, chunk, other))
+                elif other < chunk and high >= band - 1:
+                    out.append((chunk, band, other, chunk))
+    return out
 
 
 def jaccard_components(
@@ -263,18 +269,19 @@ def jaccard_components(
     distinct = linkable.groupBy(*key).agg(F.first("band").alias("band"))
     # one row per band: as many rows as bands, about 400 for sizes up to 2^62
     per_band = distinct.groupBy("band").agg(F.sum("n_shingles").alias("total")).collect()
-    chunks = {r["band"]: max(1, -(-int(r["total"]) // chunk_shingles)) for r in per_band}
-    if chunks:
-        roles, here = _tiles(chunks)
-        placed = (
-            reps.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), here))
-            .select("doc_id", "shingles", F.explode(roles).alias("t"))
-            .select("doc_id", "shingles", "t.*")
-            .withColumn("diagonal", (F.col("band2") == F.col("family")) & (F.col("i") == F.col("j")))
+    place, spans = layout({r["band"]: int(r["total"]) for r in per_band}, chunk_shingles)
+    if place:
+        # as many rows as (chunk, band, partner) triples: bands, chunks and their neighbours,
+        # not documents; Spark chooses how to join it
+        tiles = spark.createDataFrame(tiles_of(place, spans), "chunk long, band int, x long, y long")
+        first = F.create_map(*[v for b, (c, _) in sorted(place.items()) for v in (F.lit(b), F.lit(c))])
+        parts = F.create_map(*[v for b, (_, n) in sorted(place.items()) for v in (F.lit(b), F.lit(n))])
+        chunk = first[F.col("band")] + F.pmod(F.xxhash64("doc_id"), parts[F.col("band")])
+        placed = reps.withColumn("chunk", chunk.cast("long")).join(tiles, ["chunk", "band"]).select(
+            "doc_id", "shingles", "x", "y", F.when(F.col("chunk") == F.col("x"), 0).otherwise(1).alias("side")
         )
         links = save(
-            placed.groupBy("family", "i", "band2", "j").applyInArrow(_tile_links(percent), "a long, b long"),
-            "jaccard-links",
+            placed.groupBy("x", "y").applyInArrow(_tile_links(percent), "a long, b long"), "jaccard-links"
         )
     else:
         links = spark.createDataFrame([], "a long, b long")
