@@ -315,9 +315,26 @@ def test_resolution(spark):
     shown = [("DOE  jane", " root >plant a"), ("jane doe", "Plant A"), ("JD", "nowhere"), (None, None), ("nan", "")]
     columns = "id long, user_requester long, user_requester_display string, entities_id long, entities_id_display string"
     df = spark.createDataFrame([(i, None, u, None, e) for i, (u, e) in enumerate(shown)] + [(9, 77, "77", 88, "88")], columns)
-    out = resolve.resolve_display_names(df, dims)
-    got = {r.id: (r.user_requester, r.entities_id) for r in out.collect()}
-    assert got == {0: (1, 5), 1: (1, 4), 2: (1, None), 3: (None, None), 4: (None, None), 9: (77, 88)}
+    want = {0: (1, 5), 1: (1, 4), 2: (1, None), 3: (None, None), 4: (None, None), 9: (77, 88)}
+    for limit in (resolve.DICTIONARY_ROWS, 0):  # broadcast dictionary, then the shuffle path
+        out = resolve.resolve_display_names(df.unionByName(df), dims, dictionary_rows=limit)
+        assert out.columns == df.columns and out.count() == 2 * len(want)
+        assert {r.id: (r.user_requester, r.entities_id) for r in out.collect()} == want
+    assert {(r.column, r.name_key) for r in resolve.name_dictionary(df, dims).collect()} == {
+        ("user_requester", "doe jane"), ("user_requester", "jane doe"), ("user_requester", "jd"),
+        ("entities_id", "root > plant a"), ("entities_id", "plant a"),
+    }
+
+
+def test_resolution_shuffles_the_fact_at_most_once(spark):
+    dims = {"dim_users": spark.range(0, 50).selectExpr("id", "concat('u', id) AS name", "NULL AS realname", "NULL AS firstname")}
+    df = spark.range(0, 2000).selectExpr("id", "CAST(NULL AS BIGINT) AS user_requester", "concat('U', id % 70) AS user_requester_display")
+    plan = resolve.resolve_display_names(df, dims)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    slow = resolve.resolve_display_names(df, dims, dictionary_rows=0)
+    plan = slow._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 2  # lookups against the dictionary, ids back to the fact
+    assert slow.filter("user_requester IS NOT NULL").count() == sum(i % 70 < 50 for i in range(2000))
 
 
 def test_requesters(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.functions.cleaning import normalize_display_name, whole_number
+from ticketlens.session import cut_lineage
 
 # Which dimension a ticket key points at.
 TARGETS = {
@@ -53,28 +54,85 @@ def name_keys(table: str, dim: DataFrame) -> DataFrame:
     )
 
 
-def resolve_display_names(tickets: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+DICTIONARY_ROWS = 1_000_000
+"""Resolved texts up to this many are broadcast; beyond, the lookups take one shuffle join."""
+
+
+def _targets(tickets: DataFrame, dims: dict[str, DataFrame]) -> list[tuple[str, str]]:
+    return [
+        (column, table) for column, table in TARGETS.items()
+        if table in dims and column in tickets.columns and f"{column}_display" in tickets.columns
+    ]
+
+
+def name_dictionary(tickets: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """(column, name_key, name_id) for every distinct text the tickets need looked up.
+
+    Lookups are gathered from the fact as distinct (column, normalised text) pairs, which
+    combine before their shuffle, and meet the spellings of all dimensions in one join.
+    """
+    targets = _targets(tickets, dims)
+    asked = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(t).alias("dim"),
+                 F.when(F.col(c).isNull(), normalize_display_name(F.col(f"{c}_display"))).alias("name_key"))
+        for c, t in targets
+    ])
+    wanted = (
+        tickets.select(F.explode(asked).alias("w")).select("w.*")
+        .filter(F.col("name_key").isNotNull()).distinct()
+    )
+    spellings = None
+    for table in sorted({t for _, t in targets}):
+        one = name_keys(table, dims[table]).withColumn("dim", F.lit(table))
+        spellings = one if spellings is None else spellings.unionByName(one)
+    return wanted.join(spellings, ["dim", "name_key"]).select("column", "name_key", "name_id")
+
+
+def resolve_display_names(
+    tickets: DataFrame, dims: dict[str, DataFrame], dictionary_rows: int = DICTIONARY_ROWS
+) -> DataFrame:
     """Fill missing key ids from their shown texts; what matches no spelling stays NULL.
 
-    The spelling table is unique per key, so a left join keeps the row count. Rows that need
-    no lookup get a key of their own instead of a shared NULL, which spreads them over all
-    tasks when the dimension is too large to broadcast.
+    The distinct texts that need a lookup are resolved once into a dictionary (see
+    ``name_dictionary``). A dictionary of at most ``dictionary_rows`` rows is broadcast and the
+    fact is never shuffled; a larger one meets the fact's lookups, exploded with a row number,
+    in one shuffle join, and their ids come back to the fact by a second join on that number:
+    the fact is shuffled once. Row count and order of columns stay as they were.
     """
-    out = tickets
-    for column, table in TARGETS.items():
-        shown = f"{column}_display"
-        if table not in dims or column not in out.columns or shown not in out.columns:
-            continue
-        wanted = F.when(F.col(column).isNull(), normalize_display_name(F.col(shown)))
-        idle = F.concat(F.lit("\u0000"), F.xxhash64("id").cast("string"))
-        keyed = out.withColumn("_key", F.coalesce(wanted, idle))
-        keys = name_keys(table, dims[table])
-        out = (
-            keyed.join(keys, keyed["_key"] == keys["name_key"], "left")
-            .withColumn(column, F.coalesce(F.col(column), F.col("name_id")))
-            .drop("_key", "name_key", "name_id")
-        )
-    return out
+    targets = _targets(tickets, dims)
+    if not targets:
+        return tickets
+    dictionary = cut_lineage(name_dictionary(tickets, dims))
+    size = dictionary.count()
+    if size <= dictionary_rows:
+        out = tickets
+        small = F.broadcast(dictionary)  # its size was counted just above
+        for column, _ in targets:
+            one = small.filter(F.col("column") == column).select(
+                F.col("name_key").alias("_key"), F.col("name_id").alias("_id")
+            )
+            wanted = F.when(F.col(column).isNull(), normalize_display_name(F.col(f"{column}_display")))
+            out = (
+                out.withColumn("_key", wanted).join(one, "_key", "left")
+                .withColumn(column, F.coalesce(F.col(column), F.col("_id"))).drop("_key", "_id")
+            )
+        return out.select(*tickets.columns)
+    numbered = cut_lineage(tickets.withColumn("_row", F.monotonically_increasing_id()))
+    asked = F.array(*[
+        F.struct(F.lit(c).alias("column"),
+                 F.when(F.col(c).isNull(), normalize_display_name(F.col(f"{c}_display"))).alias("name_key"))
+        for c, _ in targets
+    ])
+    found = (
+        numbered.select("_row", F.explode(asked).alias("w")).select("_row", "w.*")
+        .filter(F.col("name_key").isNotNull())
+        .join(dictionary, ["column", "name_key"])
+        .groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("column", "name_id"))).alias("_ids"))
+    )
+    out = numbered.join(found, "_row", "left")
+    for column, _ in targets:
+        out = out.withColumn(column, F.coalesce(F.col(column), F.col("_ids")[column]))
+    return out.select(*tickets.columns)
 
 
 def fk_resolution_report(resolved: DataFrame) -> DataFrame:
