@@ -79,9 +79,14 @@ def _single(df: DataFrame) -> dict[str, float]:
 
 
 def retrain(
-    tickets: DataFrame, now: Column, root: str, only=tuple(PRIMARY), trees: int = models.TREES
+    tickets: DataFrame, now: Column, root: str, only=tuple(PRIMARY), trees: int = models.TREES,
+    silhouette: str = "sums",
 ) -> list[dict]:
-    """Train and evaluate the named models on ``tickets``; returns one summary per model."""
+    """Train and evaluate the named models on ``tickets``; returns one summary per model.
+
+    ``silhouette`` chooses the clusterer's promotion measure: ``sums`` (squared distances from
+    per-cluster statistics, linear in the tickets) or ``exact`` (Euclidean, all pairs).
+    """
     spark = tickets.sparkSession
     n_tickets = tickets.count()
     fingerprint = content_fingerprint(tickets).first()["fingerprint"]
@@ -121,15 +126,18 @@ def retrain(
         vectors = cut_lineage(clustering.text_vectors(corpus, clean_tokens(F.col("text"))))
         labels = cut_lineage(clustering.dbscan(vectors))
         figures = _single(clustering.cluster_counts(labels))
-        figures["silhouette"] = _silhouette(vectors, labels, figures["n_clusters"])
+        figures["silhouette"] = _silhouette(vectors, labels, figures["n_clusters"], silhouette)
         out.append(_record(spark, root, "clusterer", figures, fingerprint, None))
     return out
 
 
-def _silhouette(vectors: DataFrame, labels: DataFrame, n_clusters: float) -> float:
+def _silhouette(vectors: DataFrame, labels: DataFrame, n_clusters: float, how: str) -> float:
+    if how not in ("sums", "exact"):
+        raise ValueError(f"silhouette is 'sums' or 'exact', not {how!r}")
     if n_clusters < 2:
         return 0.0
-    return float(clustering.silhouette(vectors, labels).first()["silhouette"])
+    measure = clustering.silhouette_sums if how == "sums" else clustering.silhouette
+    return float(measure(vectors, labels).first()["silhouette"])
 
 
 if __name__ == "__main__":  # spark-submit retrain.py <warehouse root> <now>
