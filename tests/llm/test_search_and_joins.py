@@ -34,6 +34,8 @@ def near_corpus():
     texts += [base[0].upper(), "a b", "A B", "a", "", None, " \t\n", "x" * 5000 + " y z",
               "é" * 70 + " long word", "é" * 70 + " long word"]
     texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 80))) for _ in range(30)]
+    huge = " ".join(rng.choice(words) for _ in range(250_000))  # over 1 MiB: several slices
+    texts += [huge, huge + " one more"]
     rows = [(i, t, 1, "en") for i, t in enumerate(texts)]
     return rows + [rows[2], (None, base[0], 1, "en")]
 

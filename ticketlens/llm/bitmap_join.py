@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import mix, prefix_hash, raw_bytes, save
+from ticketlens.llm.common import mix, prefix_hash, raw_bytes, save, text_slices
 from ticketlens.operators.components import connected_components
 
 WIDTH = 3
@@ -137,48 +137,58 @@ def _sets(docs: DataFrame, width: int, percent: int, with_sets: bool = True) ->
     """doc_id, n_shingles, the order-free set key k1 and k2, band (and the set itself)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, offsets = batch_sets(batch.column("text"), width)
-            sizes = np.diff(offsets)
-            full = sizes > 0
-            k1 = np.zeros(len(sizes), np.uint64)
-            k2 = np.zeros(len(sizes), np.uint64)
-            if len(values):
-                k1[full] = np.add.reduceat(mix(values), offsets[:-1][full])
-                k2[full] = np.bitwise_xor.reduceat(mix(values ^ _SEED), offsets[:-1][full])
-            columns = [batch.column("doc_id"), pa.array(sizes), pa.array(k1.view(np.int64)),
-                       pa.array(k2.view(np.int64)), pa.array(band_of(sizes, percent).astype(np.int32))]
-            names = ["doc_id", "n_shingles", "k1", "k2", "band"]
-            if with_sets:
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64))))
-                names.append("shingles")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for whole in batches:
+            for start, stop in text_slices(whole):
+                batch = whole.slice(start, stop - start)
+                values, offsets = batch_sets(batch.column("text"), width)
+                sizes = np.diff(offsets)
+                full = sizes > 0
+                k1 = np.zeros(len(sizes), np.uint64)
+                k2 = np.zeros(len(sizes), np.uint64)
+                if len(values):
+                    k1[full] = np.add.reduceat(mix(values), offsets[:-1][full])
+                    k2[full] = np.bitwise_xor.reduceat(mix(values ^ _SEED), offsets[:-1][full])
+                columns = [batch.column("doc_id"), pa.array(sizes), pa.array(k1.view(np.int64)),
+                           pa.array(k2.view(np.int64)), pa.array(band_of(sizes, percent).astype(np.int32))]
+                names = ["doc_id", "n_shingles", "k1", "k2", "band"]
+                if with_sets:
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64))))
+                    names.append("shingles")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, k1 long, k2 long, band int"
     return rows.mapInArrow(run, schema + (", shingles array<long>" if with_sets else ""))
 
 
+def _bitmaps(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, words: int) -> np.ndarray:
+    """One bitmap of ``words`` 64-bit words per row: a bit per shingle hash."""
+    maps = np.zeros((len(rows), words), np.uint64)
+    sizes = offsets[rows + 1] - offsets[rows]
+    at = np.repeat(offsets[rows] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
+    spot = (values[at] % np.uint64(words * 64)).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    np.bitwise_or.at(maps, (owner, spot >> 6), np.left_shift(np.uint64(1), (spot & 63).astype(np.uint64)))
+    return maps
+
+
 def _tile_links(percent: int):
-    """A tile's task: bitmap bound, then exact intersection; a spanning forest of its links."""
+    """A tile's task: bitmap bound, then exact intersection; a spanning forest of its links.
+
+    Sets are compared band by band with the neighbouring bands only, on bitmaps sized for the
+    larger of the two bands.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         diagonal = table.column("x")[0].as_py() == table.column("y")[0].as_py()
         side = table.column("side").to_numpy()
+        band = table.column("band").to_numpy()
         ids = table.column("doc_id").to_numpy()
         lists = table.column("shingles").combine_chunks()
         values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        offsets = lists.offsets.to_numpy()
-        sets = [values[offsets[i] : offsets[i + 1]] for i in range(len(lists))]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        words = bitmap_words(sizes.max(initial=1))
-        maps = np.zeros((len(sets), words), np.uint64)
-        spot = (values[offsets[0] : offsets[-1]] % np.uint64(words * 64)).astype(np.int64)
-        row = np.repeat(np.arange(len(sets)), np.diff(offsets))
-        np.bitwise_or.at(maps, (row, spot >> 6), np.left_shift(np.uint64(1), (spot & 63).astype(np.uint64)))
-        left = np.flatnonzero(side == 0)
-        right = left if diagonal else np.flatnonzero(side == 1)
-        parent = np.arange(len(sets))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(offsets)
+        parent = np.arange(len(ids))
 
         def find(x):
             while parent[x] != x:
@@ -187,28 +197,42 @@ def _tile_links(percent: int):
             return x
 
         out_a, out_b = [], []
-        step = max(1, (1 << 22) // max(1, len(right) * words))
-        for lo in range(0, len(left), step):
-            block = left[lo : lo + step]
-            ones = np.bitwise_count(maps[block][:, None, :] ^ maps[right][None, :, :]).sum(-1, dtype=np.int64)
-            one, two = sizes[block][:, None], sizes[right][None, :]
-            total = one + two
-            bound = (total - ones) // 2
-            keep = ((100 + percent) * bound >= percent * total) & (
-                100 * np.minimum(one, two) >= percent * np.maximum(one, two)
-            )
-            if diagonal:
-                keep &= np.arange(lo, lo + len(block))[:, None] < np.arange(len(right))[None, :]
-            for i, j in zip(*np.nonzero(keep)):
-                a, b = int(block[i]), int(right[j])
-                ra, rb = find(a), find(b)
-                if ra == rb:  # already joined in this tile: the link would add nothing
+        left_all = np.flatnonzero(side == 0)
+        right_all = left_all if diagonal else np.flatnonzero(side == 1)
+        for b in np.unique(band[left_all]):
+            left = left_all[band[left_all] == b]
+            for b2 in (b - 1, b, b + 1):
+                if diagonal and b2 < b:
+                    continue  # met when band b2 was the left one
+                right = right_all[band[right_all] == b2]
+                if not len(right):
                     continue
-                common = np.intersect1d(sets[a], sets[b], assume_unique=True).size
-                if 100 * common >= percent * (sizes[a] + sizes[b] - common):
-                    parent[max(ra, rb)] = min(ra, rb)
-                    out_a.append(ids[a])
-                    out_b.append(ids[b])
+                words = bitmap_words(max(sizes[left].max(), sizes[right].max()))
+                maps_l = _bitmaps(values, offsets, left, words)
+                maps_r = maps_l if right is left or (diagonal and b2 == b) else _bitmaps(values, offsets, right, words)
+                step = max(1, (1 << 22) // max(1, len(right) * words))
+                for lo in range(0, len(left), step):
+                    block = slice(lo, lo + step)
+                    ones = np.bitwise_count(maps_l[block][:, None, :] ^ maps_r[None, :, :]).sum(-1, dtype=np.int64)
+                    one, two = sizes[left[block]][:, None], sizes[right][None, :]
+                    total = one + two
+                    bound = (total - ones) // 2
+                    keep = ((100 + percent) * bound >= percent * total) & (
+                        100 * np.minimum(one, two) >= percent * np.maximum(one, two)
+                    )
+                    if diagonal and b2 == b:
+                        keep &= np.arange(lo, lo + len(ones))[:, None] < np.arange(len(right))[None, :]
+                    for i, j in zip(*np.nonzero(keep)):
+                        a, c = int(left[lo + i]), int(right[j])
+                        ra, rc = find(a), find(c)
+                        if ra == rc:  # already joined in this tile: the link would add nothing
+                            continue
+                        sa, sc = values[offsets[a] : offsets[a + 1]], values[offsets[c] : offsets[c + 1]]
+                        common = np.intersect1d(sa, sc, assume_unique=True).size
+                        if 100 * common >= percent * (sizes[a] + sizes[c] - common):
+                            parent[max(ra, rc)] = min(ra, rc)
+                            out_a.append(ids[a])
+                            out_b.append(ids[c])
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
@@ -278,7 +302,7 @@ def jaccard_components(
         parts = F.create_map(*[v for b, (_, n) in sorted(place.items()) for v in (F.lit(b), F.lit(n))])
         chunk = first[F.col("band")] + F.pmod(F.xxhash64("doc_id"), parts[F.col("band")])
         placed = reps.withColumn("chunk", chunk.cast("long")).join(tiles, ["chunk", "band"]).select(
-            "doc_id", "shingles", "x", "y", F.when(F.col("chunk") == F.col("x"), 0).otherwise(1).alias("side")
+            "doc_id", "band", "shingles", "x", "y", F.when(F.col("chunk") == F.col("x"), 0).otherwise(1).alias("side")
         )
         links = save(
             placed.groupBy("x", "y").applyInArrow(_tile_links(percent), "a long, b long"), "jaccard-links"
