@@ -5,14 +5,16 @@ with fewer words the whole sequence is the one shingle; no words: the empty set,
 nothing). Two documents link when ``100 * |A & B| >= percent * |A | B|``; the result is one row
 per document with the smallest doc_id its links reach.
 
-1. Equal sets collapse to their smallest doc_id by an aggregate, so a group of copies of any size
-   is combined before the shuffle and costs one set afterwards.
+1. Equal sets form a group under an order-free 128-bit key and its size; the group's smallest
+   doc_id is found by an aggregate of keys alone. Sets travel once, to their tiles: a task
+   sends on only the first set of each key it meets, and a tile keeps one set per key, so a
+   group of copies of any size costs at most one set per input partition.
 2. Sizes fall into bands ``e_0 = 1``, ``e_(k+1) = floor(100 e_k / percent) + 1``: sets two bands
-   apart cannot link (their size ratio alone is below ``percent``). Family ``k`` holds the pairs of
-   band ``k`` with bands ``k`` and ``k + 1``.
+   apart cannot link (their size ratio alone is below ``percent``).
 3. Bands are laid out in order into *chunks* of at most ``chunk_shingles`` shingles: small bands
    share a chunk, a large band is dealt by id hash into chunks of its own. A *tile* is a pair of
-   chunks that can hold a linking pair (their bands at most one apart), and one task; a set goes
+   chunks that can hold a linking pair (their bands at most one apart), and one task; sets are
+   dealt by their key, so copies share a chunk; a set goes
    to the tiles of its own chunk and, when its band borders another chunk's, to those too. The
    task builds a bitmap per set (twice the tile's largest size in bits, one bit per shingle
    hash). Every bit of ``a xor b`` stands for a different element of the symmetric difference,
@@ -20,7 +22,8 @@ per document with the smallest doc_id its links reach.
    link have their sorted arrays intersected, and pairs that the tile's union-find already
    joined are not compared again. A tile emits a spanning forest of its links, never all pairs
    of a group.
-4. Components of the forests by large-star/small-star rounds.
+4. The forests' links, moved to the groups' smallest ids, give components by large-star/small-star
+   rounds.
 
 Work grows with the pairs inside neighbouring bands (the method compares every pair of a tile by
 bitmap); nothing is capped or sampled.
@@ -45,8 +48,8 @@ from ticketlens.operators.components import connected_components
 
 WIDTH = 3
 PERCENT = 90
-CHUNK_SHINGLES = 1 << 22
-"""Shingles of one side of a tile: 32 MB of hashes."""
+CHUNK_SHINGLES = 1 << 23
+"""Shingles of one chunk: 64 MB of hashes, so a tile holds at most 128 MB of sets."""
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -133,10 +136,26 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
         yield values[a:b]
 
 
-def _sets(docs: DataFrame, width: int, percent: int, with_sets: bool = True) -> DataFrame:
-    """doc_id, n_shingles, the order-free set key k1 and k2, band (and the set itself)."""
+def _only(values, offsets, columns, keep):
+    """The rows of ``keep``: their sets and columns."""
+    rows = np.flatnonzero(keep)
+    sizes = offsets[rows + 1] - offsets[rows]
+    at = np.repeat(offsets[rows] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
+    new_offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    taken = pa.array(rows)
+    return values[at], new_offsets, [c.take(taken) for c in columns]
+
+
+def _sets(docs: DataFrame, width: int, percent: int, with_sets: bool = True, linkable: bool = False) -> DataFrame:
+    """doc_id, n_shingles, the order-free set key k1 and k2, band (and the set itself).
+
+    ``linkable``: only rows with an id and a non-empty set, and of equal sets in one input
+    partition only the first, so that a group of copies of any size sends at most one set per
+    partition on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for whole in batches:
             for start, stop in text_slices(whole):
                 batch = whole.slice(start, stop - start)
@@ -151,6 +170,15 @@ def _sets(docs: DataFrame, width: int, percent: int, with_sets: bool = True) ->
                 columns = [batch.column("doc_id"), pa.array(sizes), pa.array(k1.view(np.int64)),
                            pa.array(k2.view(np.int64)), pa.array(band_of(sizes, percent).astype(np.int32))]
                 names = ["doc_id", "n_shingles", "k1", "k2", "band"]
+                if linkable:
+                    keep = np.zeros(len(sizes), bool)
+                    present = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                    for i in np.flatnonzero(full & present):
+                        mark = (int(sizes[i]), int(k1[i]), int(k2[i]))
+                        if mark not in seen:
+                            seen.add(mark)
+                            keep[i] = True
+                    values, offsets, columns = _only(values, offsets, columns, keep)
                 if with_sets:
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64))))
                     names.append("shingles")
@@ -181,6 +209,14 @@ def _tile_links(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         diagonal = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        # copies of one set from several input partitions: the smallest id stays
+        order = np.lexsort((table.column("doc_id").to_numpy(), table.column("k2").to_numpy(),
+                            table.column("k1").to_numpy(), table.column("side").to_numpy()))
+        k1, k2 = table.column("k1").to_numpy()[order], table.column("k2").to_numpy()[order]
+        sd = table.column("side").to_numpy()[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (sd[1:] != sd[:-1])
+        table = table.take(pa.array(order[first]))
         side = table.column("side").to_numpy()
         band = table.column("band").to_numpy()
         ids = table.column("doc_id").to_numpy()
@@ -279,20 +315,15 @@ def jaccard_components(
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     key = ["n_shingles", "k1", "k2"]
-    # the keys are stored; the sets are made again where they are needed, which costs less
-    # than writing them
     sets = save(_sets(docs, width, percent, with_sets=False), "jaccard-keys")
     linkable = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    reps = (
-        _sets(docs, width, percent)
-        .filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        .groupBy(*key)
-        .agg(F.min("doc_id").alias("doc_id"), F.first("band").alias("band"),
-             F.min_by("shingles", "doc_id").alias("shingles"))
+    # one row per distinct set: its smallest id, combined before the shuffle; no sets travel
+    groups = save(
+        linkable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("band").alias("band")),
+        "jaccard-groups",
     )
-    distinct = linkable.groupBy(*key).agg(F.first("band").alias("band"))
     # one row per band: as many rows as bands, about 400 for sizes up to 2^62
-    per_band = distinct.groupBy("band").agg(F.sum("n_shingles").alias("total")).collect()
+    per_band = groups.groupBy("band").agg(F.sum("n_shingles").alias("total")).collect()
     place, spans = layout({r["band"]: int(r["total"]) for r in per_band}, chunk_shingles)
     if place:
         # as many rows as (chunk, band, partner) triples: bands, chunks and their neighbours,
@@ -300,20 +331,28 @@ def jaccard_components(
         tiles = spark.createDataFrame(tiles_of(place, spans), "chunk long, band int, x long, y long")
         first = F.create_map(*[v for b, (c, _) in sorted(place.items()) for v in (F.lit(b), F.lit(c))])
         parts = F.create_map(*[v for b, (_, n) in sorted(place.items()) for v in (F.lit(b), F.lit(n))])
-        chunk = first[F.col("band")] + F.pmod(F.xxhash64("doc_id"), parts[F.col("band")])
-        placed = reps.withColumn("chunk", chunk.cast("long")).join(tiles, ["chunk", "band"]).select(
-            "doc_id", "band", "shingles", "x", "y", F.when(F.col("chunk") == F.col("x"), 0).otherwise(1).alias("side")
+        chunk = first[F.col("band")] + F.pmod(F.xxhash64("k1", "k2"), parts[F.col("band")])
+        placed = (
+            _sets(docs, width, percent, linkable=True)
+            .withColumn("chunk", chunk.cast("long")).join(tiles, ["chunk", "band"])
+            .select("doc_id", "k1", "k2", "band", "shingles", "x", "y",
+                    F.when(F.col("chunk") == F.col("x"), 0).otherwise(1).alias("side"))
         )
-        links = save(
+        found = save(
             placed.groupBy("x", "y").applyInArrow(_tile_links(percent), "a long, b long"), "jaccard-links"
         )
     else:
-        links = spark.createDataFrame([], "a long, b long")
+        found = spark.createDataFrame([], "a long, b long")
+    members = linkable.select("doc_id", *key).join(groups.select(*key, "rep"), key)
+    rep_of = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
+    links = (
+        found.join(rep_of, "a")
+        .join(rep_of.withColumnsRenamed({"a": "b", "ra": "rb"}), "b")
+        .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    )
     roots = connected_components(links).select(F.col("node").alias("rep"), "root")
     labels = (
-        linkable.select("doc_id", *key)
-        .join(linkable.groupBy(*key).agg(F.min("doc_id").alias("rep")), key)
-        .join(roots, "rep", "left")
+        members.join(roots, "rep", "left")
         .select("doc_id", *key, F.coalesce("root", "rep").alias("component_id"))
         .distinct()
     )
