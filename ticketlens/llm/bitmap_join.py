@@ -51,6 +51,9 @@ PERCENT = 90
 CHUNK_SHINGLES = 1 << 23
 """Shingles of one chunk: 64 MB of hashes, so a tile holds at most 128 MB of sets."""
 
+TILE_ROWS = 1_000_000
+"""Largest tile table (chunk, band, partner) that is broadcast to the sets."""
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LETTERS = np.random.default_rng(31).integers(1, 1 << 63, 256, np.uint64)
@@ -328,7 +331,9 @@ def jaccard_components(
     if place:
         # as many rows as (chunk, band, partner) triples: bands, chunks and their neighbours,
         # not documents; Spark chooses how to join it
-        tiles = spark.createDataFrame(tiles_of(place, spans), "chunk long, band int, x long, y long")
+        listed = tiles_of(place, spans)
+        tiles = spark.createDataFrame(listed, "chunk long, band int, x long, y long")
+        tiles = F.broadcast(tiles) if len(listed) <= TILE_ROWS else tiles  # counted just above
         first = F.create_map(*[v for b, (c, _) in sorted(place.items()) for v in (F.lit(b), F.lit(c))])
         parts = F.create_map(*[v for b, (_, n) in sorted(place.items()) for v in (F.lit(b), F.lit(n))])
         chunk = first[F.col("band")] + F.pmod(F.xxhash64("k1", "k2"), parts[F.col("band")])
