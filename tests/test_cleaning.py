@@ -177,8 +177,9 @@ def test_user_display_name(spark):
     assert got == ["Doe  Ann", "login", "user #3", "Inconnu"]
 
 
-def test_flatten_cell_goes_through_three_lists_and_more(spark):
+def test_flatten_cell_goes_through_lists_of_any_depth(spark):
     assert one(spark, "string", '[[[{"id":5}]]]', cleaning.flatten_cell) == "5"
     assert one(spark, "string", '[[[[["x"]]]]]', cleaning.flatten_cell) == "x"
-    with pytest.raises(Exception, match="nests more lists"):
-        one(spark, "string", '[[[[[[["x"]]]]]]]', cleaning.flatten_cell)
+    assert one(spark, "string", "[" * 40 + '"deep"' + "]" * 40, cleaning.flatten_cell) == "deep"
+    assert one(spark, "string", '[[[], [""]], [[[{"name": ""}, {"completename": "Z"}]]], "late"]', cleaning.flatten_cell) == "Z"
+    assert one(spark, "string", "[" * 12 + "]" * 12, cleaning.flatten_cell) is None

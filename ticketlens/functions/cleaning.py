@@ -30,36 +30,58 @@ def _filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def _flatten_variant(v: Column, depth: int) -> Column:
+def _from_object(v: Column) -> Column:
+    return F.coalesce(*[_filled(F.try_variant_get(v, f"$.{key}", "string")) for key in OBJECT_KEYS])
+
+
+def _first_in_list(items: Column, steps: Column) -> Column:
+    """The first filled value of a list, depth first, through lists nested to any depth.
+
+    An explicit stack of the values still to visit is worked off by ``aggregate``: a list puts
+    its items in front of the stack, an object gives its first filled key, a scalar itself when
+    it is not empty. ``steps`` (the cell's length) bounds the number of values in the cell.
+    """
+    start = F.struct(items.alias("stack"), F.lit(None).cast("string").alias("found"))
+
+    def visit(acc, _):
+        top = F.get(acc["stack"], F.lit(0))
+        rest = F.slice(acc["stack"], 2, F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))
+        kind = F.schema_of_variant(top)
+        inner = F.coalesce(F.try_variant_get(top, "$", "array<variant>"), F.array().cast("array<variant>"))
+        value = F.when(kind.startswith("OBJECT"), _from_object(top)).when(
+            ~kind.startswith("ARRAY"), _filled(F.try_variant_get(top, "$", "string"))
+        )
+        idle = acc["found"].isNotNull() | (F.size(acc["stack"]) == 0)
+        return F.when(idle, acc).otherwise(
+            F.struct(
+                F.when(kind.startswith("ARRAY"), F.concat(inner, rest)).otherwise(rest).alias("stack"),
+                value.alias("found"),
+            )
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), steps), start, visit)["found"]
+
+
+def _flatten_variant(v: Column, steps: Column) -> Column:
     kind = F.schema_of_variant(v)
-    from_object = F.coalesce(
-        *[_filled(F.try_variant_get(v, f"$.{key}", "string")) for key in OBJECT_KEYS]
-    )
+    items = F.try_variant_get(v, "$", "array<variant>")
     scalar = F.try_variant_get(v, "$", "string")
-    flat = F.when(kind.startswith("OBJECT"), from_object)
-    if depth:
-        items = F.try_variant_get(v, "$", "array<variant>")
-        parts = F.transform(items, lambda item: _flatten_variant(item, depth - 1))
-        first = F.get(F.filter(parts, lambda p: p.isNotNull() & (p != "")), F.lit(0))
-        flat = flat.when(kind.startswith("ARRAY"), first)
-    else:
-        flat = flat.when(
-            kind.startswith("ARRAY"), F.raise_error(F.lit("cell nests more lists than depth allows"))
-        )
-    return flat.otherwise(scalar)
+    return F.when(kind.startswith("OBJECT"), _from_object(v)).when(
+        kind.startswith("ARRAY"), _first_in_list(items, steps)
+    ).otherwise(scalar)
 
 
-def flatten_cell(c: Column, depth: int = 5) -> Column:
+def flatten_cell(c: Column) -> Column:
     """Reduce a landed cell to one scalar text.
 
-    A list gives its first element that is not empty, an object its first filled key of
-    ``OBJECT_KEYS``; anything that is not JSON is already the scalar. ``depth`` is how many
-    lists may be nested; a deeper one is an error rather than raw JSON handed on.
+    A list gives its first element that is not empty (lists inside lists to any depth), an
+    object its first filled key of ``OBJECT_KEYS``; anything that is not JSON is already the
+    scalar.
     """
     # parsed once: the lambda binds the value that the branches below look at several times
     held = F.transform(
         F.array(F.try_parse_json(c)),
-        lambda v: F.when(v.isNotNull(), _flatten_variant(v, depth)).otherwise(c),
+        lambda v: F.when(v.isNotNull(), _flatten_variant(v, F.greatest(F.length(c), F.lit(1)))).otherwise(c),
     )
     return F.when(c.rlike(r"^\s*[\[{]"), F.get(held, F.lit(0))).otherwise(c)
 
