@@ -360,3 +360,16 @@ def test_no_candidates_assign_nothing(spark):
     missing = spark.createDataFrame([(1, True, True)], "id long, needs_group boolean, needs_user boolean")
     nobody = spark.createDataFrame([], "users_id long, groups_id long, group_name string")
     assert requesters.assign_requester(missing, nobody).count() == 0
+
+
+def test_classification_metrics_in_one_pass_equal_the_parts(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice([0, 1, None]), rng.choice([0, 1]), rng.choice([0.1, 0.5, 0.9, None, rng.random()])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "t int, p int, s double")
+    got = metrics.classification_metrics(df, "t", "p", "s").first()
+    base = metrics.accuracy_and_f1(df, "t", "p").first()
+    assert (got.accuracy, got.f1_macro, got.n) == (base.accuracy, base.f1_macro, base.n)
+    assert abs(got.f1 - metrics.binary_f1(df, "t", "p").first().f1) < 1e-12
+    assert abs(got.auc - metrics.auc(df, "t", "s").first().auc) < 1e-12
