@@ -83,6 +83,13 @@ def test_lenient_dates(spark):
     assert one(spark, "string", "2024-03-01 10:00:00", parse) == dt.datetime(2024, 3, 1, 10)
     assert one(spark, "string", "n/a", parse) is None
     assert one(spark, "string", "2024-02-30 10:00:00", parse) is None
+    assert one(spark, "string", "01/02/2024", parse) == dt.datetime(2024, 1, 2)
+    assert one(spark, "string", "13/02/2024 08:30", parse) == dt.datetime(2024, 2, 13, 8, 30)
+    assert one(spark, "string", "2/3/2024 7:05:09", parse) == dt.datetime(2024, 2, 3, 7, 5, 9)
+    assert one(spark, "string", "2024/03/01", parse) == dt.datetime(2024, 3, 1)
+    assert one(spark, "string", " 1.3.2024 ", parse) == dt.datetime(2024, 3, 1)
+    assert one(spark, "string", "02/30/2024", parse) is None
+    assert one(spark, "string", "01/02/2024 junk", parse) is None
 
 
 def test_conform_keeps_the_layout_when_empty(spark):

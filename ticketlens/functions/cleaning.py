@@ -98,8 +98,21 @@ def whole_number(c: Column) -> Column:
     )
 
 
+# Layouts tried in this order after ISO text; month first, as the reference reads
+# an ambiguous slash date, day first when that is no date, then year first and dotted days.
+DATE_FORMATS = (
+    "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
+    "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy",
+    "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d",
+    "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy",
+)
+
+
 def lenient_timestamp(c: Column) -> Column:
-    return c.cast("string").try_cast("timestamp_ntz")
+    """ISO text, else the first of ``DATE_FORMATS`` that reads the whole cell; else NULL."""
+    text = strip(c.cast("string"))
+    tried = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS]
+    return F.coalesce(c.cast("string").try_cast("timestamp_ntz"), *tried)
 
 
 def coerce_bool(c: Column) -> Column:

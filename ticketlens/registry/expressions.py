@@ -68,8 +68,22 @@ def _(spark, sf):
     return rows.select("id", *[cleaning.flatten_cell(F.col(c)).alias(c.lstrip("_")) for c in _CELLS])
 
 
+_LAYOUTS = "[" + ", ".join(
+    "'" + f.replace("yyyy", "%Y").replace("M", "%m").replace("d", "%d").replace("H", "%H")
+    .replace("%H:mm:ss", "%H:%M:%S").replace("%H:mm", "%H:%M") + "'"
+    for f in cleaning.DATE_FORMATS
+) + "]"
+
+
+def _lenient(c: str) -> str:
+    return (
+        f"coalesce(TRY_CAST({c} AS TIMESTAMP), "
+        f"try_strptime(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), {_LAYOUTS}))"
+    )
+
+
 @query("parse_dates_lenient", raw(
-    "SELECT id, " + ", ".join(f"TRY_CAST({c} AS TIMESTAMP) AS {c}" for c in shaping.DATES) + " FROM raw"))
+    "SELECT id, " + ", ".join(f"{_lenient(c)} AS {c}" for c in shaping.DATES) + " FROM raw"))
 def _(spark, sf):
     return shaping.parse_dates(tb.raw_tickets(spark, sf, *shaping.DATES))
 
