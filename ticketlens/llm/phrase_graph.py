@@ -4,13 +4,16 @@ Texts are lower-cased in A-Z, cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and tho
 between spaces and tabs; nothing spans two pieces. Per language (NULL: ``und``):
 
 * **Edges.** The graph's nodes are ``(longest - 1)``-grams; every ``longest``-gram occurrence is
-  an edge from its first to its last ``longest - 1`` words. Edges are aggregated by one combinable
-  count, so a phrase repeated in a third of all documents is summed before the shuffle.
-* **Flows.** A ``k``-gram occurs either followed by a word (then it is the prefix of a
-  ``k + 1``-gram) or at its piece's end. So ``f_k(g) = sum_w f_(k+1)(g w) + end_k(g)``, where
-  ``end_k`` counts pieces whose last ``k`` words are ``g`` (the piece-end correction, at most
-  ``longest - 1`` records a piece). Counts of every length come out of the edge weights by
-  ``longest - 1`` aggregations, each over a smaller table than the one before.
+  an edge from its first to its last ``longest - 1`` words. Each word position gives one record:
+  its edge where the piece has room, else the rest of the piece (the piece-end correction, at
+  most ``longest - 1`` records a piece). Records are counted per task before the one shuffle, so
+  a phrase repeated in a third of all documents arrives as a few counted rows.
+* **Flows.** A ``k``-gram occurs either followed by a word (the prefix of a ``k + 1``-gram) or at
+  its piece's end, so ``f_k(g) = sum_w f_(k+1)(g w) + end_k(g)``: the flow through node ``g`` is
+  the weight of all records that begin with it. The records are dealt by ranges of their word
+  sequences and sorted, so those records lie together and every level's counts are running sums
+  over one sorted pass; only counts of at least ``min_count`` (and the parts of groups cut by a
+  batch edge, summed afterwards) leave the pass.
 * **Candidates** are phrases of ``shortest`` to ``longest`` words with ``a = f >= min_count``.
   Their cut after ``k`` words scores ``floor(1000 a n / (l r))`` in exact decimal arithmetic;
   the lowest score counts, ties to the smallest ``k``.
@@ -27,6 +30,9 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,56 +42,121 @@ PIECE = r"[.,;:!?\x0A-\x0D]"
 BLANK = r"[\x20\x09]+"
 
 
-def _grams(docs: DataFrame, longest: int) -> DataFrame:
-    """(lang, k, gram, count): the longest grams as edges (k = longest) and piece ends (k smaller)."""
+COMBINE_ROWS = 1 << 20
+"""Records a task counts together before sending them on: bounds its memory, not its work."""
+
+
+def _records(docs: DataFrame, longest: int) -> DataFrame:
+    """(lang, gram): one record per word position, its ``longest``-gram edge where the piece
+    has room, else the piece's end from there (the piece-end correction)."""
     pieces = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.explode(F.split(fold(F.coalesce(F.col("text").cast("string"), F.lit(""))), PIECE)).alias("piece"),
     ).select("lang", F.filter(F.split("piece", BLANK), lambda w: w != "").alias("w"))
     size = F.size("w")
-    none = F.array().cast("array<int>")
-    starts = F.when(size >= longest, F.sequence(F.lit(1), size - longest + 1)).otherwise(none)
-    tails = F.when(size > 0, F.sequence(F.lit(1), F.least(size, F.lit(longest - 1)))).otherwise(none)
-    either = F.concat(
-        F.transform(starts, lambda i: F.struct(
-            F.lit(longest).alias("k"), F.array_join(F.slice("w", i, longest), " ").alias("gram"))),
-        F.transform(tails, lambda k: F.struct(
-            k.alias("k"), F.array_join(F.slice("w", size - k + 1, k), " ").alias("gram"))),
-    )
-    return (
-        pieces.select("lang", F.explode(either).alias("g"))
-        .groupBy("lang", "g.k", "g.gram")
-        .agg(F.count(F.lit(1)).alias("f"))
+    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(
+        places, lambda p: F.array_join(F.slice("w", p, F.least(F.lit(longest), size - p + 1)), " ")
     )
+    return pieces.select("lang", F.explode(grams).alias("gram"))
 
 
-def phrase_counts(docs: DataFrame, longest: int = 5) -> DataFrame:
-    """(lang, k, gram, f) for every gram of 1 to ``longest`` words, derived from edge weights."""
-    weights = save(_grams(docs, longest), "phrase-edges")
-    level = weights.filter(F.col("k") == longest).select("lang", "k", "gram", "f")
-    levels = [level]
-    for k in range(longest - 1, 0, -1):
-        flow = level.select("lang", F.substring_index("gram", " ", k).alias("gram"), "f")
-        end = weights.filter(F.col("k") == k).select("lang", "gram", "f")
-        level = (
-            flow.unionByName(end).groupBy("lang", "gram").agg(F.sum("f").alias("f"))
-            .select("lang", F.lit(k).alias("k"), "gram", "f")
-        )
-        level = save(level, f"phrase-level-{k}")
-        levels.append(level)
-    out = levels[0]
-    for other in levels[1:]:
-        out = out.unionByName(other)
-    return out
+def _combine(batches):
+    """Equal records counted together per task, up to COMBINE_ROWS at a time."""
+    held, rows = [], 0
+
+    def flush():
+        table = pa.Table.from_batches(held).group_by(["lang", "gram"]).aggregate([("gram", "count")])
+        return table.rename_columns(["lang", "gram", "f"]).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= COMBINE_ROWS:
+            yield from flush()
+            held, rows = [], 0
+    if held:
+        yield from flush()
+
+
+def _flows(longest: int, min_count: int):
+    """Node flows of sorted records: a k-gram's count is the sum over the records that begin
+    with it, which lie together. Groups at a batch's edges may go on in the next batch: they are
+    sent on as parts, whatever their count, and summed later; inner groups only when frequent."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lang = batch.column("lang")
+            f = batch.column("f").to_numpy()
+            words = pc.split_pattern(batch.column("gram"), " ")
+            length = pc.list_value_length(words).to_numpy()
+            out_lang, out_k, out_gram, out_f = [], [], [], []
+            for name in pc.unique(lang).to_pylist():  # the words of each language, n
+                out_lang.append(name)
+                out_k.append(0)
+                out_gram.append("")
+                out_f.append(int(f[pc.equal(lang, name).to_numpy(zero_copy_only=False)].sum()))
+            for k in range(1, longest + 1):
+                rows = np.flatnonzero(length >= k)
+                if not len(rows):
+                    continue
+                taken = pa.array(rows)
+                prefix = pc.binary_join(pc.list_slice(words.take(taken), 0, k), " ")
+                kept_lang = lang.take(taken)
+                change = np.ones(len(rows), bool)
+                if len(rows) > 1:
+                    change[1:] = (
+                        pc.not_equal(prefix.slice(1), prefix.slice(0, len(rows) - 1)).to_numpy(zero_copy_only=False)
+                        | pc.not_equal(kept_lang.slice(1), kept_lang.slice(0, len(rows) - 1)).to_numpy(zero_copy_only=False)
+                    )
+                starts = np.flatnonzero(change)
+                sums = np.add.reduceat(f[rows], starts)
+                edge = np.zeros(len(starts), bool)
+                edge[[0, -1]] = True
+                keep = np.flatnonzero(edge | (sums >= min_count))
+                at = pa.array(starts[keep])
+                out_lang += kept_lang.take(at).to_pylist()
+                out_k += [k] * len(keep)
+                out_gram += prefix.take(at).to_pylist()
+                out_f += sums[keep].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out_lang, pa.string()), pa.array(out_k, pa.int32()),
+                 pa.array(out_gram, pa.string()), pa.array(out_f, pa.int64())],
+                names=["lang", "k", "gram", "f"],
+            )
+
+    return run
+
+
+def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 1) -> DataFrame:
+    """(lang, k, gram, f) for every gram of 1 to ``longest`` words seen ``min_count`` times or
+    more, and (lang, 0, '', n) with each language's number of words.
+
+    The edges and piece ends are counted per task, dealt by ranges of their word sequences and
+    sorted; every shorter count is then the flow through a node, the sum over the contiguous
+    records that begin with it. One shuffle carries the records; only counts come out.
+    """
+    counted = _records(docs, longest).mapInArrow(_combine, "lang string, gram string, f long")
+    ordered = (
+        counted.withColumn("w", F.split("gram", " "))
+        .repartitionByRange("lang", "w")
+        .sortWithinPartitions("lang", "w")
+        .select("lang", "gram", "f")
+    )
+    parts = ordered.mapInArrow(_flows(longest, min_count), "lang string, k int, gram string, f long")
+    summed = parts.groupBy("lang", "k", "gram").agg(F.sum("f").alias("f"))
+    return summed.filter((F.col("k") == 0) | (F.col("f") >= min_count))
 
 
 def collocations(
     docs: DataFrame, shortest: int = 2, longest: int = 5, min_count: int = 100, top: int = 2000
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` collocations."""
-    counts = phrase_counts(docs, longest)
-    n = counts.filter(F.col("k") == 1).groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = save(counts.filter(F.col("f") >= min_count), "phrase-frequent")
+    counts = save(phrase_counts(docs, longest, min_count), "phrase-counts")
+    n = counts.filter(F.col("k") == 0).select("lang", F.col("f").alias("n"))
+    frequent = counts.filter(F.col("k") >= 1)
     candidates = frequent.filter(F.col("k") >= shortest).select(
         "lang", "k", F.col("gram").alias("phrase"), F.col("f").alias("a")
     )
