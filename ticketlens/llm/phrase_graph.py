@@ -139,12 +139,8 @@ def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 1) -> Data
     records that begin with it. One shuffle carries the records; only counts come out.
     """
     counted = _records(docs, longest).mapInArrow(_combine, "lang string, gram string, f long")
-    ordered = (
-        counted.withColumn("w", F.split("gram", " "))
-        .repartitionByRange("lang", "w")
-        .sortWithinPartitions("lang", "w")
-        .select("lang", "gram", "f")
-    )
+    words = F.split("gram", " ")  # an expression: ranges and order use it, rows do not carry it
+    ordered = counted.repartitionByRange(F.col("lang"), words).sortWithinPartitions(F.col("lang"), words)
     parts = ordered.mapInArrow(_flows(longest, min_count), "lang string, k int, gram string, f long")
     summed = parts.groupBy("lang", "k", "gram").agg(F.sum("f").alias("f"))
     return summed.filter((F.col("k") == 0) | (F.col("f") >= min_count))
