@@ -139,8 +139,16 @@ def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 1) -> Data
     records that begin with it. One shuffle carries the records; only counts come out.
     """
     counted = _records(docs, longest).mapInArrow(_combine, "lang string, gram string, f long")
-    words = F.split("gram", " ")  # an expression: ranges and order use it, rows do not carry it
-    ordered = counted.repartitionByRange(F.col("lang"), words).sortWithinPartitions(F.col("lang"), words)
+    # word by word, an absent word as '' (words are never empty, so it sorts first): records that
+    # begin with the same words lie together. Ranges are cut on these expressions, so the
+    # shuffled rows do not carry them; after the shuffle they are computed once a row to sort.
+    def by_words():
+        split = F.split("gram", " ")
+        return [F.coalesce(F.get(split, i), F.lit("")) for i in range(longest)]
+
+    ranged = counted.repartitionByRange(F.col("lang"), *by_words())
+    keys = {f"_w{i}": c for i, c in enumerate(by_words())}
+    ordered = ranged.withColumns(keys).sortWithinPartitions("lang", *keys).drop(*keys)
     parts = ordered.mapInArrow(_flows(longest, min_count), "lang string, k int, gram string, f long")
     summed = parts.groupBy("lang", "k", "gram").agg(F.sum("f").alias("f"))
     return summed.filter((F.col("k") == 0) | (F.col("f") >= min_count))
