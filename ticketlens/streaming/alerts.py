@@ -18,20 +18,23 @@ def alert_payload(recos: DataFrame) -> DataFrame:
     )
 
 
-def alert_stream(recos: DataFrame, start: Column | None = None, delay: str = "14 days") -> DataFrame:
+def alert_stream(
+    recos: DataFrame, start: Column | None = None, delay: str = "14 days", now: Column | None = None
+) -> DataFrame:
     """Critical rows created after ``start``, each id once within ``delay`` of event time.
 
     ``recos`` is a streaming frame; the checkpoint takes the place of a high-water mark, so a
     restart neither replays nor loses alerts. The default delay is the life of a
     recommendation: it bounds the state, and what comes later than that has expired anyway
     (the query's progress counts it as ``numRowsDroppedByWatermark``). Rows dated ahead count
-    as created now, so that they do not push the watermark past those that follow.
+    as created ``now`` (by default each micro-batch's time), so that they do not push the
+    watermark past those that follow.
     """
     critical = recos.filter(F.col("severity") == ALERT_SEVERITY)
     if start is not None:
         critical = critical.filter(F.col("created_at") > start)
     timed = critical.withColumn(
-        "_at", F.least(F.col("created_at").cast("timestamp"), F.current_timestamp())
+        "_at", F.least(F.col("created_at").cast("timestamp"), F.current_timestamp() if now is None else now.cast("timestamp"))
     )
     once = timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark(["id"])
     return alert_payload(once)
