@@ -194,3 +194,30 @@ def test_ball_tree_bounds_hold():
         want = sorted(((int(dense[i, q].sum()), -i) for i in range(300) if dense[i, q].sum() > 0), reverse=True)[:10]
         got = sorted(((s, int(i)) for s, i, _ in tree.search(np.array(q), ids, 10)), reverse=True)
         assert got == [(s, i) for s, i in want]
+
+
+def test_ball_search_keeps_64_bit_ids(spark):
+    from ticketlens.llm import ball_search
+
+    big = 2**62 + 1  # neighbours that one double stands for
+    rows = [(big + i, "alpha beta", 0, "en") for i in range(40)] + [(None, "alpha beta", 0, "en")]
+    rows += [(i, "other", 0, "en") for i in range(60)]
+    items = [(big, "alpha"), (big + 1, "beta alpha")]
+    docs = spark.createDataFrame(rows[::-1], SCHEMA).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for k in (5, 41):
+        got = ball_search.rank(docs, bench, k=k, shard_rows=30, leaf_size=4).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute_search(rows, items, k)
+
+
+def test_ball_tree_of_outliers_stays_shallow():
+    import numpy as np
+    from ticketlens.llm import ball_search
+
+    n = 3000  # no two vectors share a term: far pivots would peel them off one by one
+    values = np.arange(1, n + 1, dtype=np.int64)
+    tree = ball_search.BallTree(np.arange(n + 1), np.arange(n), values, n, 1000)
+    place = np.arange(n)
+    assert [(s, int(r)) for s, _, r in tree.search(np.array([7, 2000]), place, 1)] == [(2001, 2000)]
+    deep = ball_search.BallTree(np.arange(n + 1), np.arange(n), values, n, 2)
+    assert sorted(s for s, _, _ in deep.search(np.arange(n), place, 3)) == [n - 2, n - 1, n]
