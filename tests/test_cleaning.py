@@ -190,3 +190,13 @@ def test_flatten_cell_goes_through_lists_of_any_depth(spark):
     assert one(spark, "string", "[" * 40 + '"deep"' + "]" * 40, cleaning.flatten_cell) == "deep"
     assert one(spark, "string", '[[[], [""]], [[[{"name": ""}, {"completename": "Z"}]]], "late"]', cleaning.flatten_cell) == "Z"
     assert one(spark, "string", "[" * 12 + "]" * 12, cleaning.flatten_cell) is None
+
+
+def test_flatten_cell_walks_items_not_characters(spark):
+    cells = {
+        '["", {"name": "' + "x" * 500 + '"}]': "x" * 500, '[[], [[], [""]], ["a,[b"]]': "a,[b",
+        "[[[[[[1]]]]]]": "1", '["", "", "", {"id": "", "name": ""}, "last"]': "last", "[]": None, "[[],[]]": None,
+    }
+    rows = spark.createDataFrame([(c,) for c in cells], "c string").select("c", cleaning.flatten_cell(F.col("c")).alias("v"))
+    assert {r.c: r.v for r in rows.collect()} == cells
+    assert "translate" in rows._jdf.queryExecution().analyzed().toString()  # steps count brackets and commas

@@ -337,6 +337,25 @@ def test_resolution_shuffles_the_fact_at_most_once(spark):
     assert slow.filter("user_requester IS NOT NULL").count() == sum(i % 70 < 50 for i in range(2000))
 
 
+def test_resolution_shuffles_lookups_of_wide_columns_only(spark):
+    """One column's dictionary fits, the other's does not: the small one needs no shuffle."""
+    spell = "id", "concat('u', id) AS name", "NULL AS realname", "NULL AS firstname"
+    dims = {
+        "dim_users": spark.range(0, 50).selectExpr(*spell),
+        "dim_entities": spark.range(0, 4).selectExpr("id", "concat('e', id) AS name", "NULL AS completename"),
+    }
+    df = spark.range(0, 500).selectExpr(
+        "id", "CAST(NULL AS BIGINT) AS user_requester", "concat('U', id % 70) AS user_requester_display",
+        "CAST(NULL AS BIGINT) AS entities_id", "concat('E ', id % 5) AS entities_id_display",
+    ).replace({"E 0": "e0", "E 1": "e1", "E 2": "e2", "E 3": "e3"})
+    out = resolve.resolve_display_names(df, dims, dictionary_rows=10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 3  # the small column's dictionary, then the wide one's lookups and ids
+    for r in out.collect():
+        assert r.user_requester == (r.id % 70 if r.id % 70 < 50 else None)
+        assert r.entities_id == (r.id % 5 if r.id % 5 < 4 else None)
+
+
 def test_requesters(spark):
     tickets = spark.range(1, 200).select("id")
     group_links = spark.createDataFrame([(1, 1), (1, 1), (2, 2)], "tickets_id long, type int")

@@ -39,7 +39,7 @@ def _first_in_list(items: Column, steps: Column) -> Column:
 
     An explicit stack of the values still to visit is worked off by ``aggregate``: a list puts
     its items in front of the stack, an object gives its first filled key, a scalar itself when
-    it is not empty. ``steps`` (the cell's length) bounds the number of values in the cell.
+    it is not empty. ``steps`` bounds the number of list items in the cell.
     """
     start = F.struct(items.alias("stack"), F.lit(None).cast("string").alias("found"))
 
@@ -78,10 +78,12 @@ def flatten_cell(c: Column) -> Column:
     object its first filled key of ``OBJECT_KEYS``; anything that is not JSON is already the
     scalar.
     """
+    # a list item stands behind a bracket or a comma; the walk takes one step an item
+    steps = F.greatest(F.length(c) - F.length(F.translate(c, "[,", "")), F.lit(1))
     # parsed once: the lambda binds the value that the branches below look at several times
     held = F.transform(
         F.array(F.try_parse_json(c)),
-        lambda v: F.when(v.isNotNull(), _flatten_variant(v, F.greatest(F.length(c), F.lit(1)))).otherwise(c),
+        lambda v: F.when(v.isNotNull(), _flatten_variant(v, steps)).otherwise(c),
     )
     return F.when(c.rlike(r"^\s*[\[{]"), F.get(held, F.lit(0))).otherwise(c)
 

@@ -55,7 +55,7 @@ def name_keys(table: str, dim: DataFrame) -> DataFrame:
 
 
 DICTIONARY_ROWS = 1_000_000
-"""Resolved texts up to this many are broadcast; beyond, the lookups take one shuffle join."""
+"""Resolved texts up to this many are broadcast; columns beyond take one shuffle join."""
 
 
 def _targets(tickets: DataFrame, dims: dict[str, DataFrame]) -> list[tuple[str, str]]:
@@ -65,20 +65,19 @@ def _targets(tickets: DataFrame, dims: dict[str, DataFrame]) -> list[tuple[str,
     ]
 
 
-def name_dictionary(tickets: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """(column, name_key, name_id) for every distinct text the tickets need looked up.
+def _asked(column: str) -> Column:
+    """The normalised text to look up for a missing key, else NULL."""
+    return F.when(F.col(column).isNull(), normalize_display_name(F.col(f"{column}_display")))
 
-    Lookups are gathered from the fact as distinct (column, normalised text) pairs, which
-    combine before their shuffle, and meet the spellings of all dimensions in one join.
-    """
-    targets = _targets(tickets, dims)
-    asked = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(t).alias("dim"),
-                 F.when(F.col(c).isNull(), normalize_display_name(F.col(f"{c}_display"))).alias("name_key"))
+
+def _dictionary(asked: DataFrame, targets: list[tuple[str, str]], dims: dict[str, DataFrame]) -> DataFrame:
+    """(column, name_key, name_id) of the texts in the columns of ``asked``."""
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(t).alias("dim"), F.col(c).alias("name_key"))
         for c, t in targets
     ])
     wanted = (
-        tickets.select(F.explode(asked).alias("w")).select("w.*")
+        asked.select(F.explode(cells).alias("w")).select("w.*")
         .filter(F.col("name_key").isNotNull()).distinct()
     )
     spellings = None
@@ -88,50 +87,69 @@ def name_dictionary(tickets: DataFrame, dims: dict[str, DataFrame]) -> DataFrame
     return wanted.join(spellings, ["dim", "name_key"]).select("column", "name_key", "name_id")
 
 
+def name_dictionary(tickets: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """(column, name_key, name_id) for every distinct text the tickets need looked up.
+
+    Lookups are gathered from the fact as distinct (column, normalised text) pairs, which
+    combine before their shuffle, and meet the spellings of all dimensions in one join.
+    """
+    targets = _targets(tickets, dims)
+    return _dictionary(tickets.select(*[_asked(c).alias(c) for c, _ in targets]), targets, dims)
+
+
 def resolve_display_names(
     tickets: DataFrame, dims: dict[str, DataFrame], dictionary_rows: int = DICTIONARY_ROWS
 ) -> DataFrame:
     """Fill missing key ids from their shown texts; what matches no spelling stays NULL.
 
-    The distinct texts that need a lookup are resolved once into a dictionary (see
-    ``name_dictionary``). A dictionary of at most ``dictionary_rows`` rows is broadcast and the
-    fact is never shuffled; a larger one meets the fact's lookups, exploded with a row number,
-    in one shuffle join, and their ids come back to the fact by a second join on that number:
-    the fact is shuffled once. Row count and order of columns stay as they were.
+    The fact is read, cleaned and normalised once and kept in the shared folder; all below works
+    on those files. Its distinct texts are resolved into a dictionary (see ``name_dictionary``),
+    whose part for each column is counted: the smallest parts, ``dictionary_rows`` rows in all,
+    are broadcast. Where parts are left, only their columns' lookups are exploded with a row
+    number, meet them in one shuffle join, and come back to the fact by that number; otherwise
+    the fact is never shuffled. Row count and order of columns stay as they were.
     """
     targets = _targets(tickets, dims)
     if not targets:
         return tickets
-    dictionary = cut_lineage(name_dictionary(tickets, dims))
-    size = dictionary.count()
-    if size <= dictionary_rows:
-        out = tickets
-        small = F.broadcast(dictionary)  # its size was counted just above
-        for column, _ in targets:
-            one = small.filter(F.col("column") == column).select(
-                F.col("name_key").alias("_key"), F.col("name_id").alias("_id")
-            )
-            wanted = F.when(F.col(column).isNull(), normalize_display_name(F.col(f"{column}_display")))
-            out = (
-                out.withColumn("_key", wanted).join(one, "_key", "left")
-                .withColumn(column, F.coalesce(F.col(column), F.col("_id"))).drop("_key", "_id")
-            )
-        return out.select(*tickets.columns)
-    numbered = cut_lineage(tickets.withColumn("_row", F.monotonically_increasing_id()))
-    asked = F.array(*[
-        F.struct(F.lit(c).alias("column"),
-                 F.when(F.col(c).isNull(), normalize_display_name(F.col(f"{c}_display"))).alias("name_key"))
-        for c, _ in targets
-    ])
-    found = (
-        numbered.select("_row", F.explode(asked).alias("w")).select("_row", "w.*")
-        .filter(F.col("name_key").isNotNull())
-        .join(dictionary, ["column", "name_key"])
-        .groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("column", "name_id"))).alias("_ids"))
+    keys = {c: f"_key_{c}" for c, _ in targets}
+    out = held = cut_lineage(
+        tickets.select("*", *[_asked(c).alias(k) for c, k in keys.items()])
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    dictionary = cut_lineage(
+        _dictionary(held.select(*[F.col(k).alias(c) for c, k in keys.items()]), targets, dims)
     )
-    out = numbered.join(found, "_row", "left")
-    for column, _ in targets:
-        out = out.withColumn(column, F.coalesce(F.col(column), F.col("_ids")[column]))
+    counted = {r["column"]: r["count"] for r in dictionary.groupBy("column").count().collect()}  # one a column
+    room, wide = dictionary_rows, []
+    for column in sorted(keys, key=lambda c: counted.get(c, 0)):
+        rows = counted.get(column, 0)
+        if rows > room:
+            wide.append(column)
+            continue
+        if not rows:
+            continue
+        room -= rows
+        one = dictionary.filter(F.col("column") == column).select(
+            F.col("name_key").alias(keys[column]), F.col("name_id").alias("_id")
+        )
+        out = (
+            out.join(F.broadcast(one), keys[column], "left")  # its size was counted just above
+            .withColumn(column, F.coalesce(F.col(column), F.col("_id"))).drop("_id")
+        )
+    if wide:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(keys[c]).alias("name_key")) for c in wide])
+        found = (
+            held.select("_row", F.explode(cells).alias("w")).select("_row", "w.*")
+            .filter(F.col("name_key").isNotNull())
+            .join(dictionary, ["column", "name_key"])
+            .groupBy("_row").agg(*[
+                F.max(F.when(F.col("column") == c, F.col("name_id"))).alias(f"_id_{c}") for c in wide
+            ])
+        )
+        out = out.join(found, "_row", "left").withColumns(
+            {c: F.coalesce(F.col(c), F.col(f"_id_{c}")) for c in wide}
+        )
     return out.select(*tickets.columns)
 
 
