@@ -150,6 +150,29 @@ def test_near_duplicates_inside_a_group_of_copies(spark, stars):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_near_duplicates_of_an_edited_centre_do_not_all_meet(spark, monkeypatch):
+    """Every text has its own deviation from one that is absent: what the centre's deviation
+    makes the others share must not bring them together pair by pair."""
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(18):
+        text = list(base)
+        text[3 * i + 2] = f"own{i}"
+        texts.append((i, " ".join(text)))
+    met, meetings = [], circulant_minhash._meetings
+
+    def counted(*args):
+        out = meetings(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(circulant_minhash, "_meetings", counted)
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = circulant_minhash.near_duplicates(df, width=3, percent=85, bands=30, stars=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(18)}
+    assert met == [0]  # 136 pairs share one of the absent text's shingles or more
+
+
 def test_circulant_signature_estimates_overlap():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 1200).astype(np.uint64)

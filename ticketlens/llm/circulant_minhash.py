@@ -9,8 +9,8 @@ row per document and no pairs. Classes meet in bands. A round picks one centre p
 compares the other members with it, on the whole sets; what linked is joined into components,
 and only members of other components are compared in the next round. The last round finds every
 link left in a bucket, without a cap: the members' differences from the bucket's centre are
-joined by a prefix filter (see ``_deltas``), so members that differ from the centre in different
-places never meet, however many they are.
+joined by a prefix filter (see ``_deltas``), rarest elements first (see ``_prefixes``), so members
+that differ from the centre in different places never meet, however many they are.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from ticketlens.operators.components import connected_components
 
 RING = 1 << 20
 BLOCK = 4096
+HELD = 1 << 18  # elements of one batch of differences
 _A, _B, _C = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
@@ -133,53 +134,84 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def _deltas(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(c, token, mark, label, n, d, f, at, index, probe): what the last round joins.
+    """(c, mark, label, n, d, f, index, probe, tokens): what the last round joins, by member.
 
-    D(x) is the symmetric difference of a member's set and its centre's; two members' sets
-    differ by as much as their D do. With Q = 100 + percent, P = 100 - percent and
+    D(x), here ``tokens``, is the symmetric difference of a member's set and its centre's; two
+    members' sets differ by as much as their D do. With Q = 100 + percent, P = 100 - percent and
     F(x) = Q |D(x)| - P |x|, a link between a and b means |D(a) & D(b)| >= (F(a) + F(b)) / 2Q.
     Of two members in different components one at least is not linked to the centre, and that
     means F > P |c|; so the bound is above 0 and the first common element, in any fixed order,
     lies within the first |D| - bound + 1 elements of both. The member of the smaller F is met
-    through ``index``, the other one through ``probe`` elements. Elements the centre lacks come
-    first: members seldom share them.
+    through ``index`` elements, the other one through ``probe``; members of neither are left out.
     """
     q, p = 100 + percent, 100 - percent
+    names = ["c", "mark", "label", "n", "d", "f", "index", "probe", "tokens"]
+
+    def packed(batch, taken, figures, tokens):
+        kept = batch.select(["c", "mark", "label"]).take(pa.array(taken, pa.int64()))
+        columns = (pa.array(x, pa.int64()) for x in zip(*figures))
+        ends = np.cumsum([0] + [len(t) for t in tokens])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens).view(np.int64)))
+        return pa.RecordBatch.from_arrays([*kept.columns, *columns, lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hub = None, np.zeros(0, np.uint64)
         for batch in batches:
             centres, loose = batch.column("c").to_pylist(), batch.column("loose").to_pylist()
+            taken, figures, tokens, held = [], [], [], 0
             for start, stop in text_slices(batch, "tb"):
                 own = shingle_sets(batch.column("tb").slice(start, stop - start), width)
                 for i, mine in zip(range(start, stop), own):
                     if last != centres[i]:
                         last = centres[i]
                         hub = next(shingle_sets(batch.column("ta").slice(i, 1), width))
-                    more = np.setdiff1d(mine, hub, assume_unique=True)
-                    less = np.setdiff1d(hub, mine, assume_unique=True)
-                    d = len(more) + len(less)
+                    apart_ = np.setxor1d(mine, hub, assume_unique=True)
+                    d = len(apart_)
                     f, apart = q * d - p * len(mine), p * len(hub) + 1
                     lowest = 2 * percent - p * len(hub) if loose[i] else apart
                     index = d - -(-(f + max(f, apart)) // (2 * q)) + 1
                     probe = d - -(-(f + lowest) // (2 * q)) + 1 if f >= apart else 0
-                    m = max(min(max(index, probe), d), 0)
-                    tokens = np.concatenate((more, less))[:m].view(np.int64)
-                    at = np.arange(m)
-                    one = batch.slice(i, 1).select(["c", "mark", "label"])
-                    same = one.take(pa.array(np.zeros(m, np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [*same.columns, pa.array(tokens), pa.array(at), pa.array(at < index),
-                         pa.array(at < probe), *(pa.array(np.full(m, v, np.int64)) for v in (len(mine), d, f))],
-                        names=["c", "mark", "label", "token", "at", "index", "probe", "n", "d", "f"],
-                    )
+                    if min(max(index, probe), d) <= 0:
+                        continue
+                    taken.append(i)
+                    figures.append((len(mine), d, f, index, probe))
+                    tokens.append(apart_)
+                    held += d
+                    if held >= HELD:
+                        yield packed(batch, taken, figures, tokens)
+                        taken, figures, tokens, held = [], [], [], 0
+            if taken:
+                yield packed(batch, taken, figures, tokens)
 
     left = texts.select(F.col("mark").alias("c"), F.col("t").alias("ta"))
     right = texts.select("mark", F.col("t").alias("tb"))
     pairs = rows.join(right, "mark").join(left, "c").select("c", "mark", "label", "loose", "ta", "tb")
     return pairs.mapInArrow(
-        run, "c binary, mark binary, label binary, token bigint, at bigint, index boolean, "
-        "probe boolean, n bigint, d bigint, f bigint",
+        run, "c binary, mark binary, label binary, n bigint, d bigint, f bigint, index bigint, "
+        "probe bigint, tokens array<bigint>",
+    )
+
+
+def _prefixes(deltas: DataFrame) -> DataFrame:
+    """(c, token, mark, label, at, index, probe, n, d, f): the elements members are met through.
+
+    A member's elements stand in the order of how many members of its centre have them, the
+    rarest first. What all members have in common, like the centre's own deviations, so comes
+    last and brings together only members whose whole D is of that kind. Elements of one member
+    alone meet nothing; they only take the first places.
+    """
+    each = deltas.select("c", "row", F.explode("tokens").alias("token"))
+    shared = each.groupBy("c", "token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    ranked = each.join(shared, ["c", "token"]).groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("often", "token"))).alias("ranked")
+    )
+    placed = deltas.drop("tokens").join(ranked, "row")
+    reach = F.greatest("index", "probe") - F.col("d") + F.size("ranked")  # the first places are taken
+    placed = placed.withColumn("reach", F.least(reach, F.size("ranked")).cast("int")).filter("reach > 0")
+    at = F.col("d") - F.size("ranked") + F.col("i")
+    return placed.select("*", F.posexplode(F.slice("ranked", F.lit(1), F.col("reach"))).alias("i", "one")).select(
+        "c", F.col("one.token").alias("token"), "mark", "label", at.alias("at"),
+        (at < F.col("index")).alias("index"), (at < F.col("probe")).alias("probe"), "n", "d", "f",
     )
 
 
@@ -277,7 +309,9 @@ def near_duplicates(
             met = met.join(own, ["band", "key"]).groupBy("c", "mark").agg(
                 F.first("label").alias("label"), F.max("loose").alias("loose")
             )
-            fresh = _meetings(save(_deltas(met, texts, width, percent), "minhash-deltas"), percent)
+            deltas = _deltas(met, texts, width, percent).withColumn("row", F.monotonically_increasing_id())
+            prefixes = _prefixes(save(deltas, "minhash-deltas"))
+            fresh = _meetings(save(prefixes, "minhash-prefixes"), percent)
         if tried is not None:
             backward = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
             fresh = fresh.join(tried.unionByName(backward), ["a", "b"], "left_anti")
