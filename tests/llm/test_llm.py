@@ -2,6 +2,7 @@
 that clash with results."""
 
 import hashlib
+import inspect
 import itertools
 import os
 import random
@@ -11,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -367,6 +369,26 @@ def test_language_model(spark, docs, empty):
     assert recurrent_lm.score(docs, *nothing).filter("train_tokens = 0").count() == len(corpus())
 
 
+def test_words_are_read_as_python_splits_them():
+    """Many at a time, and most of a corpus' word occurrences are symbols of their own."""
+    texts = ["", " a\t\nB. b,  ", "ÄÖ. ñ É\x0bx", None, "中文, 中文,"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])
+    pools = list(recurrent_lm._pools([batch]))
+    assert sum(len(raw) for _, raw in pools) == len(texts)
+    lexicon = {b"a": (5, 9, -1), b"b.": (6, 4, 1)}
+    forms = list(range(20, 32))
+    codes, owner, words = recurrent_lm.encoded(pools[0][1])
+    look = recurrent_lm.Lexicon(lexicon, forms)
+    symbols = look.symbols(look.places(words), recurrent_lm.forms_of(words))
+    got = recurrent_lm.with_ends(symbols[codes], owner, len(texts), 0)
+    want = [
+        [lexicon[w][0] if w in lexicon else forms[recurrent_lm.form(w)] for w in (t or "").encode().lower().split()] + [0]
+        for t in texts
+    ]
+    assert [g.tolist() for g in got] == want
+    assert inspect.signature(recurrent_lm.learn).parameters["vocabulary"].default >= 1500  # 371 before
+
+
 def test_network_gives_probabilities_and_right_gradients():
     counts = np.arange(40, 0, -1).astype(float)
     net = {k: v.astype(np.float64) for k, v in gru.new_model(counts).items()}

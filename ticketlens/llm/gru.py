@@ -12,7 +12,7 @@ import heapq
 
 import numpy as np
 
-HIDDEN, WIDTH, WINDOW = 8, 16, 32
+HIDDEN, WIDTH, WINDOW = 8, 32, 32
 NAMES = ("table", "inner", "inner_bias", "class_w", "class_b", "word_w", "word_b")
 Model = dict[str, np.ndarray]
 

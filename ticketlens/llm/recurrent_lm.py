@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,30 +53,63 @@ def form(word: bytes) -> int:
     return 3 * (1 if letters & _UMLAUTS else 2 if letters & _TILDES else 3) + ending
 
 
-def symbols_of(text: bytes, lexicon: dict, forms: list[int], end: int) -> np.ndarray:
-    """Symbol numbers of a text and its end. ``lexicon`` gives (symbol, count) of hot words."""
-    get = lexicon.get
-    out = [(got[0] if (got := get(w)) is not None else forms[form(w)]) for w in text.split()]
-    out.append(end)
-    return np.array(out, np.int64)
+def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """All words of ``texts`` in a row as numbers, the text of each, and the distinct words."""
+    lists = pc.ascii_split_whitespace(texts)
+    words, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    full = pc.not_equal(pc.binary_length(words), 0)  # blanks at a text's ends
+    coded = words.filter(full).dictionary_encode()
+    return coded.indices.to_numpy(), owner[full.to_numpy(zero_copy_only=False)], coded.dictionary.cast(pa.binary())
 
 
-def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def with_ends(symbols: np.ndarray, owner: np.ndarray, n: int, end: int) -> list[np.ndarray]:
+    """The symbols of each of ``n`` texts and its end."""
+    stops = np.searchsorted(owner, np.arange(n), "right")
+    return np.split(np.insert(symbols, stops, end), (stops + np.arange(1, n + 1))[:-1])
+
+
+def forms_of(words: pa.Array) -> np.ndarray:
+    """``form`` of each word."""
+    ends = lambda mark: pc.ends_with(words, pattern=mark).to_numpy(zero_copy_only=False)
+    out = np.where(ends("."), 1, np.where(ends(","), 2, 0)).astype(np.int32)
+    other = np.flatnonzero(~pc.string_is_ascii(words.cast(pa.string())).to_numpy(zero_copy_only=False))
+    out[other] = [form(w) for w in words.take(pa.array(other)).to_pylist()]
+    return out
+
+
+class Lexicon:
+    """The hot words with their (symbol, count, form or -1), looked up many at a time."""
+
+    def __init__(self, lexicon: dict, forms: list[int]):
+        self.words = pa.array(list(lexicon), pa.binary())
+        self.known = np.array(list(lexicon.values()), np.int64).reshape(-1, 3)
+        self.forms = np.array(forms, np.int64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Each word's place among the hot ones, -1 for others."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+
+    def symbols(self, places: np.ndarray, form_no: np.ndarray) -> np.ndarray:
+        out = self.forms[form_no]
+        out[places >= 0] = self.known[places[places >= 0], 0]
+        return out
+
+
+def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Bounded groups of texts, in lower case."""
     for batch in batches:
-        start, size, texts = 0, 0, []
-        for row, text in enumerate(batch.column("t")):
-            texts.append(text.as_buffer().to_pybytes().lower() if text.is_valid else b"")
-            size += len(texts[-1])
-            if size >= POOL:
-                yield batch.slice(start, row + 1 - start), texts
-                start, size, texts = row + 1, 0, []
-        if texts:
-            yield batch.slice(start), texts
+        texts = pc.fill_null(batch.column("t"), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            base = int(ends[start - 1]) if start else 0
+            stop = min(int(np.searchsorted(ends, base + POOL)) + 1, batch.num_rows)
+            yield batch.slice(start, stop - start), pc.ascii_lower(texts.slice(start, stop - start))
+            start = stop
 
 
 def learn(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: int = 371,
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: int = 1500,
     hot_words: int = 100_000, rounds: int = 2, seed: int = 3,
 ) -> tuple[dict, DataFrame]:
     """The model and the stored counts of all training words.
@@ -147,9 +181,11 @@ def _round(docs: DataFrame, model: dict) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        net, tokens = known["net"], 0
+        net, tokens, lexicon = known["net"], 0, Lexicon(known["lexicon"], known["forms"])
         for _, raw in _pools(batches):
-            texts = [symbols_of(t, known["lexicon"], known["forms"], known["end"]) for t in raw]
+            codes, owner, words = encoded(raw)
+            symbols = lexicon.symbols(lexicon.places(words), forms_of(words))
+            texts = with_ends(symbols[codes], owner, len(raw), known["end"])
             net = gru.train(net, texts, known["end"])
             tokens += sum(map(len, texts))
         if tokens:
@@ -201,36 +237,40 @@ def score(docs: DataFrame, model: dict, counts: DataFrame, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        lexicon, forms, end = known["lexicon"], known["forms"], known["end"]
-        get, scale, form_scale = lexicon.get, known["scale"], known["form_scale"]
-        base_of = {w: np.log10(c + 0.5) for w, (_, c, _) in lexicon.items()}
+        lexicon, end = Lexicon(known["lexicon"], known["forms"]), known["end"]
+        scale, form_scale = known["scale"], known["form_scale"]
         for batch, raw in _pools(batches):
-            texts, base, extra, seen, rare = [], [], [], [], []
-            for own in map(bytes.split, raw):
-                out, b, x, k, left = [], 0.0, 0.0, 1 if known["ends"] else 0, {}
-                for w in own:
-                    got = get(w)
-                    if got is None:
-                        left[w] = left.get(w, 0) + 1
-                        out.append(forms[form(w)])
-                        continue
-                    out.append(got[0])
-                    b += base_of[w]
-                    k += 1
-                    if got[2] >= 0:
-                        x += base_of[w] - form_scale[got[2]]
-                out.append(end)
-                texts.append(np.array(out, np.int64))
-                base.append(b + np.log10(known["ends"] + 0.5) - scale * len(out))
-                extra.append(x)
-                seen.append(k)
-                rare.append([{"word": w, "n": n, "form": form(w)} for w, n in left.items()])
-            logs = gru.log_likelihoods(known["net"], texts, end) / np.log(10) + np.array(extra)
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("form", pa.int32())]))
+            codes, owner, words = encoded(raw)
+            distinct, n = max(len(words), 1), len(raw)
+            places, form_no = lexicon.places(words), forms_of(words)
+            hot = places >= 0
+            log_c, more = np.zeros(len(words)), np.zeros(len(words))
+            log_c[hot] = np.log10(lexicon.known[places[hot], 1] + 0.5)
+            by_form = hot.copy()
+            by_form[hot] = lexicon.known[places[hot], 2] >= 0
+            more[by_form] = log_c[by_form] - form_scale[form_no[by_form]]
+            texts = with_ends(lexicon.symbols(places, form_no)[codes], owner, n, end)
+            total = lambda values: np.bincount(owner, values[codes], n)  # noqa: E731, B023
+            sizes = np.bincount(owner, minlength=n) + 1
+            base = total(log_c) + np.log10(known["ends"] + 0.5) - scale * sizes
+            extra = total(more)
+            seen = total(hot.astype(float)).astype(np.int64) + (1 if known["ends"] else 0)
+            # words outside the hot ones, once per text
+            cold = ~hot[codes]
+            pairs, often = np.unique(owner[cold] * distinct + codes[cold], return_counts=True)
+            at, code = np.divmod(pairs, distinct)
+            rare = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32()),
+                pa.StructArray.from_arrays(
+                    [words.take(pa.array(code)), pa.array(often, pa.int32()), pa.array(form_no[code])],
+                    names=["word", "n", "form"],
+                ),
+            )
+            logs = gru.log_likelihoods(known["net"], texts, end) / np.log(10) + extra
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("held_out"), batch.column("row"),
-                 pa.array([len(t) for t in texts], pa.int64()), pa.array(seen, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(logs, pa.float64()), pa.array(rare, kind)],
+                 pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()),
+                 pa.array(base, pa.float64()), pa.array(logs, pa.float64()), rare],
                 names=["id", "held_out", "row", "n_tokens", "n_known", "base", "score", "words"],
             )
 
