@@ -6,8 +6,11 @@ import os
 import random
 import re
 import sys
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -78,6 +81,32 @@ def test_jaccard_components_of_nothing(spark):
     assert bitmap_join.jaccard_components(empty).count() == 0
 
 
+def test_a_tile_needs_little_more_memory_than_its_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(1, 1 << 62, 300 + i % 20)) for i in range(3000)]
+    for i in range(0, 3000, 3):  # linked with the one before: 290 of its elements and up to 10 others
+        sets[i] = np.unique(np.concatenate((sets[i - 1][:290], rng.integers(1, 1 << 62, 5))))
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    tile = pa.table({
+        "doc_id": np.arange(n), "k1": np.arange(n), "k2": np.arange(n), "x": np.zeros(n, int), "y": np.zeros(n, int),
+        "side": np.zeros(n, int), "band": bitmap_join.band_of(sizes, 90),
+        "shingles": pa.array([x.tolist() for x in sets], pa.list_(pa.int64())),
+    })
+    tracemalloc.start()
+    found = bitmap_join._tile_links(90)(tile)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = set()
+    for i in range(n):
+        both = np.intersect1d(sets[i], sets[i - 1]).size
+        if 100 * both >= 90 * (sizes[i] + sizes[i - 1] - both):
+            want.add((min(i, (i - 1) % n), max(i, (i - 1) % n)))
+    pairs = zip(found["a"].to_pylist(), found["b"].to_pylist())
+    assert {(min(p), max(p)) for p in pairs} == want and len(want) == 900
+    assert peak < 20 << 20
+
+
 def test_bands_bound_the_size_ratio():
     edges = bitmap_join.bands(90, 10**6)
     sizes = list(range(1, 3000))

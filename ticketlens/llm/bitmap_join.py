@@ -51,6 +51,9 @@ PERCENT = 90
 CHUNK_SHINGLES = 1 << 23
 """Shingles of one chunk: 64 MB of hashes, so a tile holds at most 128 MB of sets."""
 
+BLOCK_SHINGLES, BLOCK_PAIRS = 1 << 18, 1 << 17
+"""Shingles hashed into bitmaps at once, and pairs compared at once: a task's helper arrays."""
+
 TILE_ROWS = 1_000_000
 """Largest tile table (chunk, band, partner) that is broadcast to the sets."""
 
@@ -192,41 +195,54 @@ def _sets(docs: DataFrame, width: int, percent: int, with_sets: bool = True, lin
     return rows.mapInArrow(run, schema + (", shingles array<long>" if with_sets else ""))
 
 
-def _bitmaps(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, words: int) -> np.ndarray:
-    """One bitmap of ``words`` 64-bit words per row: a bit per shingle hash."""
-    maps = np.zeros((len(rows), words), np.uint64)
-    sizes = offsets[rows + 1] - offsets[rows]
-    at = np.repeat(offsets[rows] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
-    spot = (values[at] % np.uint64(words * 64)).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    np.bitwise_or.at(maps, (owner, spot >> 6), np.left_shift(np.uint64(1), (spot & 63).astype(np.uint64)))
-    return maps
+def _bitmaps(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """A bit per shingle hash, ``words`` 64-bit words a set: one column per set. Sets are taken
+    in blocks, so that the helper arrays stay small whatever the band's size."""
+    maps = np.zeros((len(sets), words), np.uint64)
+    lo, held = 0, 0
+    for i, own in enumerate(sets):
+        held += len(own)
+        if held >= BLOCK_SHINGLES or i + 1 == len(sets):
+            block = sets[lo : i + 1]
+            spot = (np.concatenate(block) % np.uint64(words * 64)).astype(np.int64)
+            owner = np.repeat(np.arange(lo, i + 1), [len(x) for x in block])
+            np.bitwise_or.at(maps, (owner, spot >> 6), np.left_shift(np.uint64(1), (spot & 63).astype(np.uint64)))
+            lo, held = i + 1, 0
+    return np.ascontiguousarray(maps.T)
+
+
+def _sets_of(table: pa.Table) -> list[np.ndarray]:
+    """Each row's set, as a view of the table's own memory."""
+    out = []
+    for part in table.column("shingles").chunks:
+        values = part.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        offsets = part.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    return out
 
 
 def _tile_links(percent: int):
     """A tile's task: bitmap bound, then exact intersection; a spanning forest of its links.
 
     Sets are compared band by band with the neighbouring bands only, on bitmaps sized for the
-    larger of the two bands.
+    larger of the two bands. A band's sets stand by size, so a block of them meets only the
+    stretch of the other band whose sizes allow a link.
     """
 
     def run(table: pa.Table) -> pa.Table:
         diagonal = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        column = {c: table.column(c).to_numpy() for c in ("doc_id", "k1", "k2", "side", "band")}
+        sets = _sets_of(table)
         # copies of one set from several input partitions: the smallest id stays
-        order = np.lexsort((table.column("doc_id").to_numpy(), table.column("k2").to_numpy(),
-                            table.column("k1").to_numpy(), table.column("side").to_numpy()))
-        k1, k2 = table.column("k1").to_numpy()[order], table.column("k2").to_numpy()[order]
-        sd = table.column("side").to_numpy()[order]
+        order = np.lexsort((column["doc_id"], column["k2"], column["k1"], column["side"]))
+        k1, k2, sd = (column[c][order] for c in ("k1", "k2", "side"))
         first = np.ones(len(order), bool)
         first[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (sd[1:] != sd[:-1])
-        table = table.take(pa.array(order[first]))
-        side = table.column("side").to_numpy()
-        band = table.column("band").to_numpy()
-        ids = table.column("doc_id").to_numpy()
-        lists = table.column("shingles").combine_chunks()
-        values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        sizes = np.diff(offsets)
+        kept = order[first]
+        kept = kept[np.argsort([len(sets[i]) for i in kept], kind="stable")]
+        sets = [sets[i] for i in kept]
+        ids, side, band = (column[c][kept] for c in ("doc_id", "side", "band"))
+        sizes = np.array([len(x) for x in sets], np.int64)
         parent = np.arange(len(ids))
 
         def find(x):
@@ -243,31 +259,37 @@ def _tile_links(percent: int):
             for b2 in (b - 1, b, b + 1):
                 if diagonal and b2 < b:
                     continue  # met when band b2 was the left one
-                right = right_all[band[right_all] == b2]
+                same = diagonal and b2 == b
+                right = left if same else right_all[band[right_all] == b2]
                 if not len(right):
                     continue
-                words = bitmap_words(max(sizes[left].max(), sizes[right].max()))
-                maps_l = _bitmaps(values, offsets, left, words)
-                maps_r = maps_l if right is left or (diagonal and b2 == b) else _bitmaps(values, offsets, right, words)
-                step = max(1, (1 << 22) // max(1, len(right) * words))
+                words = bitmap_words(max(sizes[left[-1]], sizes[right[-1]]))
+                maps_l = _bitmaps([sets[i] for i in left], words)
+                maps_r = maps_l if same else _bitmaps([sets[i] for i in right], words)
+                step = max(1, BLOCK_PAIRS // len(right))
                 for lo in range(0, len(left), step):
-                    block = slice(lo, lo + step)
-                    ones = np.bitwise_count(maps_l[block][:, None, :] ^ maps_r[None, :, :]).sum(-1, dtype=np.int64)
-                    one, two = sizes[left[block]][:, None], sizes[right][None, :]
+                    block = left[lo : lo + step]
+                    r0 = int(np.searchsorted(sizes[right], -(-percent * sizes[block[0]] // 100)))
+                    r1 = int(np.searchsorted(sizes[right], 100 * sizes[block[-1]] // percent, "right"))
+                    r0 = max(r0, lo + 1) if same else r0
+                    if r0 >= r1:
+                        continue
+                    ones = np.zeros((len(block), r1 - r0), np.int64)
+                    for w in range(words):
+                        ones += np.bitwise_count(maps_l[w, lo : lo + step, None] ^ maps_r[w, None, r0:r1])
+                    one, two = sizes[block][:, None], sizes[right[r0:r1]][None, :]
                     total = one + two
-                    bound = (total - ones) // 2
-                    keep = ((100 + percent) * bound >= percent * total) & (
+                    keep = ((100 + percent) * ((total - ones) // 2) >= percent * total) & (
                         100 * np.minimum(one, two) >= percent * np.maximum(one, two)
                     )
-                    if diagonal and b2 == b:
-                        keep &= np.arange(lo, lo + len(ones))[:, None] < np.arange(len(right))[None, :]
+                    if same:
+                        keep &= np.arange(lo, lo + len(block))[:, None] < np.arange(r0, r1)[None, :]
                     for i, j in zip(*np.nonzero(keep)):
-                        a, c = int(left[lo + i]), int(right[j])
+                        a, c = int(block[i]), int(right[r0 + j])
                         ra, rc = find(a), find(c)
                         if ra == rc:  # already joined in this tile: the link would add nothing
                             continue
-                        sa, sc = values[offsets[a] : offsets[a + 1]], values[offsets[c] : offsets[c + 1]]
-                        common = np.intersect1d(sa, sc, assume_unique=True).size
+                        common = np.intersect1d(sets[a], sets[c], assume_unique=True).size
                         if 100 * common >= percent * (sizes[a] + sizes[c] - common):
                             parent[max(ra, rc)] = min(ra, rc)
                             out_a.append(ids[a])
