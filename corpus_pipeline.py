@@ -34,8 +34,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs are cut out; documents of which nothing is left go."""
-    cut = line_runs.drop_repeated_runs(docs)
+    """Later copies of line runs of any length are cut out; documents of which nothing is left go."""
+    cut = line_runs.drop_repeated_runs(docs, every_length=True)
     gone = (F.col("n_deleted") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     return _recount(cut.filter(~gone), docs.columns)
 

@@ -208,6 +208,42 @@ def test_line_runs(docs, empty):
     assert line_runs.drop_repeated_runs(empty).count() == 0
 
 
+def test_line_runs_of_every_length(spark, empty):
+    rng = random.Random(11)
+    line = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 0, 1, 2, 3, 5])))
+    stock = [line() for _ in range(40)]
+    rows = []
+    for i in range(30):
+        text = [line() + f" own{i}" for _ in range(3)]
+        for _ in range(2):
+            at = rng.randrange(30)
+            text += stock[at : at + rng.choice([2, 3, 5, 6, 7, 9])] + [f"end{i}"]
+        rows.append((None if i == 0 else i, "\n".join(text)))
+    rows += [(rows[3][0], rows[3][1]), (40, None), (41, "")]
+    distinct = sorted({((k is not None, k or 0), t or "", k) for k, t in rows})
+    gone, seen = {(k, t): set() for _, t, k in distinct}, set()
+    for _, text, key in distinct:
+        lines = text.split("\n")
+        for p in range(len(lines)):
+            for stop in range(p + 1, len(lines) + 1):
+                run = tuple(lines[p:stop])
+                if sum(len(WORD.findall(x)) for x in run) >= 10:
+                    if run in seen:
+                        gone[key, text].update(range(p, stop))
+                    seen.add(run)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for every in (True, False):
+        got = line_runs.drop_repeated_runs(df, min_words=10, every_length=every).collect()
+        left = {(r.doc_id, r.text): r.n_deleted for r in got}
+        want = {}
+        for key, text in rows:
+            cut = gone[key, text or ""]
+            kept = "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in cut)
+            want[key, None if text is None else kept] = len(cut)
+        assert (left == want) == every  # lengths of 1, 2, 4 ... lines alone leave some
+    assert line_runs.drop_repeated_runs(empty, every_length=True).count() == 0
+
+
 def test_quality(docs, empty):
     got = line_quality.judge(docs, min_words=5, min_docs=2, max_share=0.01).collect()
     assert len(got) == len(corpus())
