@@ -250,3 +250,23 @@ def test_ball_tree_of_outliers_stays_shallow():
     assert [(s, int(r)) for s, _, r in tree.search(np.array([7, 2000]), place, 1)] == [(2001, 2000)]
     deep = ball_search.BallTree(np.arange(n + 1), np.arange(n), values, n, 2)
     assert sorted(s for s, _, _ in deep.search(np.arange(n), place, 3)) == [n - 2, n - 1, n]
+
+
+def test_phrase_graph_prunes_what_cannot_be_frequent(spark):
+    from ticketlens.llm import phrase_graph
+
+    rng = np.random.default_rng(4)
+    texts = [
+        " ".join(f"{'Rare' if w % 2 else 'w'}{rng.integers(4000) if w % 2 else w % 7}" for w in rng.integers(0, 30, 60))
+        + ". A  steady\tphrase of Five words, É" for _ in range(80)
+    ]
+    docs = spark.createDataFrame(
+        [(i, t, [None, "en", "fr"][i % 3]) for i, t in enumerate(texts)] + [(900, None, "en"), (901, "", None)],
+        "doc_id long, text string, lang string",
+    ).repartition(3)
+    whole = {tuple(r) for r in phrase_graph.phrase_counts(docs, 5, 1).collect()}
+    pruned = {tuple(r) for r in phrase_graph.phrase_counts(docs, 5, 20).collect()}
+    assert pruned == {r for r in whole if r[1] == 0 or r[3] >= 20}
+    assert ("en", 5, "a steady phrase of five", 27) in pruned and ("en", 1, "É", 27) in pruned
+    kept = phrase_graph._records(docs, 5, 20).select("lang", "gram").distinct().count()
+    assert kept < 0.2 * phrase_graph._records(docs, 5, 1).select("lang", "gram").distinct().count()

@@ -8,6 +8,10 @@ between spaces and tabs; nothing spans two pieces. Per language (NULL: ``und``):
   its edge where the piece has room, else the rest of the piece (the piece-end correction, at
   most ``longest - 1`` records a piece). Records are counted per task before the one shuffle, so
   a phrase repeated in a third of all documents arrives as a few counted rows.
+* **Pruning.** A gram is no more frequent than any of its words and pairs of neighbours. Two passes
+  count these by 64-bit hashes and keep a bit for the frequent ones in a filter of fixed size;
+  a record ends before the first pair that surely is rare. Hashes that meet let a record be longer
+  than it need be, and never change a count that is kept.
 * **Flows.** A ``k``-gram occurs either followed by a word (the prefix of a ``k + 1``-gram) or at
   its piece's end, so ``f_k(g) = sum_w f_(k+1)(g w) + end_k(g)``: the flow through node ``g`` is
   the weight of all records that begin with it. The records are dealt by ranges of their word
@@ -30,53 +34,204 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import fold, save
-
-PIECE = r"[.,;:!?\x0A-\x0D]"
-BLANK = r"[\x20\x09]+"
-
+from ticketlens.llm.common import _LETTER, mix, prefix_hash, raw_bytes, save, text_slices
 
 COMBINE_ROWS = 1 << 20
 """Records a task counts together before sending them on: bounds its memory, not its work."""
 
+FILTER_BITS = 1 << 26
+"""Bits of a filter: 8 MB, whatever the input."""
+
+_KIND = np.zeros(256, np.uint8)  # 0: in a word, 1: blank, 2: ends a piece
+_KIND[[0x20, 0x09]] = 1
+_KIND[[*map(ord, ".,;:!?"), *range(0x0A, 0x0E)]] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_ODD, _PAIR = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+Filter = np.ndarray | None
+
+
+class _Slice:
+    """The words of some texts: where they lie, and their pieces, languages and hashes."""
+
+    def __init__(self, langs: pa.Array, texts: pa.Array):
+        data, offsets = raw_bytes(texts)
+        kind = _KIND[data]
+        inside, edge = kind == 0, np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        before = np.concatenate(([False], inside[:-1])) & ~edge[:-1]
+        after = np.concatenate((inside[1:], [False])) & ~edge[1:]
+        starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        self.size = ends - starts
+        self.piece = np.cumsum((kind == 2) | edge[:-1])[starts]
+        coded = langs.dictionary_encode()
+        self.names = coded.dictionary
+        per_text = np.diff(np.searchsorted(starts, offsets))
+        self.lang = np.repeat(coded.indices.to_numpy(), per_text)
+        # the same word of two languages is two words
+        total, down = prefix_hash(data, _LETTER)
+        salts = np.array([_salt(x) for x in self.names.to_pylist()], np.uint64)
+        self.hash = mix((total[ends] - total[starts]) * down[starts] ^ salts[self.lang])
+        self.letters = _LOWER[data[inside]]
+
+    def pairs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word but the last: does a pair of ``words`` begin there, and its hash."""
+        both = words[:-1] & words[1:] & (self.piece[:-1] == self.piece[1:])
+        return both, mix(self.hash[:-1] * _ODD + self.hash[1:] * _PAIR)
+
+    def grams(self, at: np.ndarray, length: np.ndarray) -> pa.Array:
+        """The ``length`` words from each of ``at`` on, between single spaces."""
+        begin = np.cumsum(self.size + 1) - self.size - 1
+        spaced = np.full(int((self.size + 1).sum()), 0x20, np.uint8)
+        spaced[np.arange(len(self.letters)) + np.repeat(np.arange(len(self.size)), self.size)] = self.letters
+        last = at + length - 1
+        n = begin[last] + self.size[last] - begin[at]
+        offsets = np.concatenate(([0], np.cumsum(n)))
+        taken = spaced[np.arange(int(offsets[-1])) + np.repeat(begin[at] - offsets[:-1], n)]
+        return pa.Array.from_buffers(
+            pa.large_string(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(taken)]
+        )
+
+
+def _salt(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+
+
+def _slices(batches):
+    for batch in batches:
+        for start, stop in text_slices(batch, "t"):
+            part = batch.slice(start, stop - start)
+            yield _Slice(part.column("lang"), part.column("t"))
+
+
+def _passes(bits: Filter, hashes: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.ones(len(hashes), bool)
+    at = hashes & np.uint64(FILTER_BITS - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-def _records(docs: DataFrame, longest: int) -> DataFrame:
-    """(lang, gram): one record per word position, its ``longest``-gram edge where the piece
-    has room, else the piece's end from there (the piece-end correction)."""
-    pieces = docs.select(
+
+def _filter(texts: DataFrame, min_count: int, words: Filter, pairs: bool) -> np.ndarray:
+    """A bit for the hash of each word (pair of words that pass ``words``) seen ``min_count``
+    times. Others may share the bit: what passes may be rare, what doesn't pass surely is."""
+
+    def count(batches):
+        held, rows = [], 0
+        for own in _slices(batches):
+            if pairs:
+                both, hashes = own.pairs(_passes(words, own.hash))
+                held.append(hashes[both])
+            else:
+                held.append(own.hash)
+            rows += len(held[-1])
+            if rows >= 4 * COMBINE_ROWS:
+                yield counted(held)
+                held, rows = [], 0
+        if rows:
+            yield counted(held)
+
+    def counted(held):
+        hashes, often = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(hashes.view(np.int64)), pa.array(often.astype(np.int64))], names=["h", "f"]
+        )
+
+    def block(table: pa.Table) -> pa.Table:
+        on = np.zeros(1 << 16, bool)
+        on[table["at"].to_numpy() & 0xFFFF] = True
+        packed = np.packbits(on, bitorder="little").tobytes()
+        return pa.table({"block": table["block"][:1], "bits": pa.array([packed], pa.binary())})
+
+    often = texts.mapInArrow(count, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    places = often.filter(F.col("f") >= min_count).select(
+        F.col("h").bitwiseAND(FILTER_BITS - 1).alias("at")
+    ).distinct()
+    blocks = places.withColumn("block", F.floor(F.col("at") / (1 << 16)).cast("int"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in blocks.groupBy("block").applyInArrow(block, "block int, bits binary").collect():  # 8 MB at most
+        bits[r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _records(docs: DataFrame, longest: int, min_count: int) -> DataFrame:
+    """(lang, gram, f): one record per word position, counted per task: its ``longest``-gram edge
+    where the piece has room, else the piece's end from there (the piece-end correction).
+
+    A record ends before the first pair of neighbours that is seen less than ``min_count`` times
+    in the whole table, as no gram across it is frequent; words that are rarer themselves are
+    only counted, under ''. Counts below ``min_count`` are therefore not whole.
+    """
+    texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-        F.explode(F.split(fold(F.coalesce(F.col("text").cast("string"), F.lit(""))), PIECE)).alias("piece"),
-    ).select("lang", F.filter(F.split("piece", BLANK), lambda w: w != "").alias("w"))
-    size = F.size("w")
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(
-        places, lambda p: F.array_join(F.slice("w", p, F.least(F.lit(longest), size - p + 1)), " ")
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"),
     )
-    return pieces.select("lang", F.explode(grams).alias("gram"))
+    filters = (None, None)
+    if min_count > 1:
+        words = _filter(texts, min_count, None, False)
+        filters = (words, _filter(texts, min_count, words, True))
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches):
+        words, pairs = shared.value
+        for own in _slices(batches):
+            n = len(own.size)
+            if not n:
+                continue
+            known = _passes(words, own.hash)
+            both, hashes = own.pairs(known)
+            on = np.zeros(n + longest, bool)  # a pair begins here and passes
+            on[: n - 1] = both
+            on[: n - 1][both] = _passes(pairs, hashes[both])
+            length, going = known.astype(np.int64), known
+            for j in range(longest - 1):
+                going = going & on[j : n + j]
+                length += going
+            at = np.flatnonzero(known)
+            if len(at):
+                yield pa.table({
+                    "lang": own.names.take(pa.array(own.lang[at])).cast(pa.large_string()),
+                    "gram": own.grams(at, length[at]), "f": pa.array(np.ones(len(at), np.int64)),
+                })
+            rare = np.bincount(own.lang[~known], minlength=len(own.names))
+            yield pa.table({
+                "lang": own.names.cast(pa.large_string()),
+                "gram": pa.array([""] * len(rare), pa.large_string()), "f": pa.array(rare.astype(np.int64)),
+            })
+
+    return texts.mapInArrow(lambda batches: _combine(run(batches)), "lang string, gram string, f long")
 
 
-def _combine(batches):
-    """Equal records counted together per task, up to COMBINE_ROWS at a time."""
+def _combine(tables):
+    """Equal records counted together per task, as long as there are up to COMBINE_ROWS."""
     held, rows = [], 0
 
-    def flush():
-        table = pa.Table.from_batches(held).group_by(["lang", "gram"]).aggregate([("gram", "count")])
-        return table.rename_columns(["lang", "gram", "f"]).to_batches()
+    def together():
+        counted = pa.concat_tables(held).group_by(["lang", "gram"]).aggregate([("f", "sum")])
+        return counted.rename_columns(["lang", "gram", "f"])
 
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= COMBINE_ROWS:
-            yield from flush()
-            held, rows = [], 0
+    def sent(table):
+        kinds = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64())])
+        yield from table.cast(kinds).to_batches(max_chunksize=1 << 16)
+
+    for table in tables:
+        held.append(table)
+        rows += table.num_rows
+        if rows >= 2 * COMBINE_ROWS:
+            held = [together()]
+            rows = held[0].num_rows
+            if rows >= COMBINE_ROWS:
+                yield from sent(held[0])
+                held, rows = [], 0
     if held:
-        yield from flush()
+        yield from sent(together())
 
 
 def _flows(longest: int, min_count: int):
@@ -138,7 +293,7 @@ def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 1) -> Data
     sorted; every shorter count is then the flow through a node, the sum over the contiguous
     records that begin with it. One shuffle carries the records; only counts come out.
     """
-    counted = _records(docs, longest).mapInArrow(_combine, "lang string, gram string, f long")
+    counted = save(_records(docs, longest, min_count), "phrase-records")
     # word by word, an absent word as '' (words are never empty, so it sorts first): records that
     # begin with the same words lie together. Ranges are cut on these expressions, so the
     # shuffled rows do not carry them; after the shuffle they are computed once a row to sort.
@@ -151,7 +306,7 @@ def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 1) -> Data
     ordered = ranged.withColumns(keys).sortWithinPartitions("lang", *keys).drop(*keys)
     parts = ordered.mapInArrow(_flows(longest, min_count), "lang string, k int, gram string, f long")
     summed = parts.groupBy("lang", "k", "gram").agg(F.sum("f").alias("f"))
-    return summed.filter((F.col("k") == 0) | (F.col("f") >= min_count))
+    return summed.filter((F.col("k") == 0) | ((F.col("f") >= min_count) & (F.col("gram") != "")))
 
 
 def collocations(
