@@ -270,3 +270,26 @@ def test_phrase_graph_prunes_what_cannot_be_frequent(spark):
     assert ("en", 5, "a steady phrase of five", 27) in pruned and ("en", 1, "É", 27) in pruned
     kept = phrase_graph._records(docs, 5, 20).select("lang", "gram").distinct().count()
     assert kept < 0.2 * phrase_graph._records(docs, 5, 1).select("lang", "gram").distinct().count()
+
+
+def test_bitmap_join_sends_whole_sets_only_where_they_may_link(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    texts = [text(rng.randint(30, 90)) for _ in range(120)]
+    near = text(60)
+    texts += [near, near + " end", near.upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, real = [], bitmap_join.save
+    monkeypatch.setattr(bitmap_join, "save", lambda df, label: seen.append((label, out := real(df, label))) or out)
+    got = {r["doc_id"]: r["component_id"] for r in bitmap_join.jaccard_components(docs, chunk_shingles=900).collect()}
+    assert got == {i: 120 if i >= 120 else i for i in range(123)}
+    marked = dict(seen)["jaccard-marked"]
+    assert 2 <= marked.select("k1", "k2").distinct().count() <= 6  # of 122 sets
+
+
+def test_bitmaps_fold_to_narrower_ones():
+    values = np.random.default_rng(5).integers(0, 1 << 63, 300, np.uint64)
+    packed = bitmap_join.packed_bitmaps(values, np.array([0, 300]), bitmap_join.band_of(np.array([300]), 90), 90)
+    wide = packed.values.to_numpy().view(np.uint64)[None, :]
+    assert wide.shape[1] >= bitmap_join.bitmap_words(300)
+    assert (bitmap_join.folded(wide, 2) == bitmap_join._bitmaps([values], 2)).all()

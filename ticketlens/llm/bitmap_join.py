@@ -15,9 +15,10 @@ per document with the smallest doc_id its links reach.
    share a chunk, a large band is dealt by id hash into chunks of its own. A *tile* is a pair of
    chunks that can hold a linking pair (their bands at most one apart), and one task; sets are
    dealt by their key, so copies share a chunk; a set goes
-   to the tiles of its own chunk and, when its band borders another chunk's, to those too. The
-   task builds a bitmap per set (twice the tile's largest size in bits, one bit per shingle
-   hash). Every bit of ``a xor b`` stands for a different element of the symmetric difference,
+   to the tiles of its own chunk and, when its band borders another chunk's, to those too. At
+   first it goes there as a bitmap alone (at least twice its band's largest size in bits, one bit
+   per shingle hash, a 16th or less of the set), and whole only to the tiles where some bitmap
+   leaves room for a link. Every bit of ``a xor b`` stands for a different element of the symmetric difference,
    so ``|A & B| <= (|A| + |B| - popcount(a xor b)) / 2``; only pairs whose bound still allows a
    link have their sorted arrays intersected, and pairs that the tile's union-find already
    joined are not compared again. A tile emits a spanning forest of its links, never all pairs
@@ -152,8 +153,31 @@ def _only(values, offsets, columns, keep):
     return values[at], new_offsets, [c.take(taken) for c in columns]
 
 
-def _sets(docs: DataFrame, width: int, percent: int, with_sets: bool = True, linkable: bool = False) -> DataFrame:
-    """doc_id, n_shingles, the order-free set key k1 and k2, band (and the set itself).
+def packed_bitmaps(values: np.ndarray, offsets: np.ndarray, band: np.ndarray, percent: int) -> pa.Array:
+    """A bitmap per set, as wide as its band asks for: one bit per shingle hash."""
+    edges = bands(percent, max(1, int(np.diff(offsets).max(initial=1))) * 2)
+    words = np.array([bitmap_words(e - 1) for e in edges[1:]], np.int64)[np.maximum(band, 0)]
+    words[band < 0] = 0
+    ends = np.concatenate(([0], np.cumsum(words)))
+    owner = np.repeat(np.arange(len(words)), np.diff(offsets))
+    on = np.zeros(int(ends[-1]) * 64, bool)
+    on[ends[owner] * 64 + (values % (words[owner] * 64).astype(np.uint64)).astype(np.int64)] = True
+    bits = np.packbits(on, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bits))
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps, a row each, as they would be with ``words`` words: one column per set."""
+    narrow = np.bitwise_or.reduce(maps.reshape(len(maps), -1, words), axis=1)
+    return np.ascontiguousarray(narrow.T)
+
+
+def _sets(
+    docs: DataFrame, width: int, percent: int, with_sets: bool = True, linkable: bool = False,
+    with_bits: bool = False, carried: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, n_shingles, the order-free set key k1 and k2, band, the ``carried`` columns (and
+    the set itself, or its bitmap).
 
     ``linkable``: only rows with an id and a non-empty set, and of equal sets in one input
     partition only the first, so that a group of copies of any size sends at most one set per
@@ -175,7 +199,8 @@ def _sets(docs: DataFrame, width: int, percent: int, with_sets: bool = True, lin
                     k2[full] = np.bitwise_xor.reduceat(mix(values ^ _SEED), offsets[:-1][full])
                 columns = [batch.column("doc_id"), pa.array(sizes), pa.array(k1.view(np.int64)),
                            pa.array(k2.view(np.int64)), pa.array(band_of(sizes, percent).astype(np.int32))]
-                names = ["doc_id", "n_shingles", "k1", "k2", "band"]
+                names = ["doc_id", "n_shingles", "k1", "k2", "band", *carried]
+                columns += [batch.column(c) for c in carried]
                 if linkable:
                     keep = np.zeros(len(sizes), bool)
                     present = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -185,14 +210,20 @@ def _sets(docs: DataFrame, width: int, percent: int, with_sets: bool = True, lin
                             seen.add(mark)
                             keep[i] = True
                     values, offsets, columns = _only(values, offsets, columns, keep)
-                if with_sets:
+                if with_bits:
+                    columns.append(packed_bitmaps(values, offsets, columns[4].to_numpy(), percent))
+                    names.append("bits")
+                elif with_sets:
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64))))
                     names.append("shingles")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried
+    )
     schema = "doc_id long, n_shingles long, k1 long, k2 long, band int"
-    return rows.mapInArrow(run, schema + (", shingles array<long>" if with_sets else ""))
+    schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.mapInArrow(run, schema + (", bits array<long>" if with_bits else ", shingles array<long>" if with_sets else ""))
 
 
 def _bitmaps(sets: list[np.ndarray], words: int) -> np.ndarray:
@@ -211,16 +242,81 @@ def _bitmaps(sets: list[np.ndarray], words: int) -> np.ndarray:
     return np.ascontiguousarray(maps.T)
 
 
-def _sets_of(table: pa.Table) -> list[np.ndarray]:
-    """Each row's set, as a view of the table's own memory."""
+def _lists_of(table: pa.Table, name: str) -> list[np.ndarray]:
+    """Each row's list, as a view of the table's own memory."""
     out = []
-    for part in table.column("shingles").chunks:
+    for part in table.column(name).chunks:
         values = part.values.to_numpy(zero_copy_only=False).view(np.uint64)
         offsets = part.offsets.to_numpy()
         out += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
     return out
 
 
+def _tile_marks(percent: int):
+    """A tile's first task, on bitmaps alone: the sets that may link with another of the tile."""
+
+    def run(table: pa.Table) -> pa.Table:
+        diagonal = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        key = ("side", "n_shingles", "k1", "k2")
+        column = {c: table.column(c).to_numpy() for c in (*key, "band")}
+        order = np.lexsort(tuple(column[c] for c in ("k2", "k1", "n_shingles", "side")))
+        first = np.zeros(len(order), bool)  # one set per key
+        first[:1] = True
+        for c in key:
+            first[1:] |= column[c][order][1:] != column[c][order][:-1]
+        kept = order[first]
+        kept = kept[np.argsort(column["n_shingles"][kept], kind="stable")]
+        sizes, side, band = (column[c][kept] for c in ("n_shingles", "side", "band"))
+        rows = _lists_of(table, "bits")
+        maps = {}
+        for s, b in sorted(set(zip(side.tolist(), band.tolist()))):
+            maps[s, b] = np.stack([rows[i] for i in kept[(side == s) & (band == b)]])
+        marked = np.zeros(len(kept), bool)
+        other = 0 if diagonal else 1
+        for s, b in [k for k in maps if k[0] == 0]:
+            left = np.flatnonzero((side == 0) & (band == b))
+            for b2 in (b - 1, b, b + 1):
+                if (other, b2) not in maps or (diagonal and b2 < b):
+                    continue  # none, or met when band b2 was the left one
+                same = diagonal and b2 == b
+                right = left if same else np.flatnonzero((side == other) & (band == b2))
+                words = min(maps[0, b].shape[1], maps[other, b2].shape[1])
+                maps_l = folded(maps[0, b], words)
+                maps_r = maps_l if same else folded(maps[other, b2], words)
+                step = max(1, BLOCK_PAIRS // len(right))
+                for lo in range(0, len(left), step):
+                    block = left[lo : lo + step]
+                    r0, r1, keep = _candidates(percent, sizes, block, right, lo, same, maps_l, maps_r)
+                    marked[block[keep.any(1)]] = True
+                    marked[right[r0:r1][keep.any(0)]] = True
+        taken = pa.array(kept[marked])
+        return table.select(["n_shingles", "k1", "k2", "x", "y", "side"]).take(taken)
+
+    return run
+
+
+def _candidates(percent, sizes, block, right, lo, same, maps_l, maps_r):
+    """The stretch of ``right`` whose sizes allow a link with ``block`` (``left`` from ``lo`` on),
+    and which pairs the bitmaps' bound leaves."""
+    r0 = int(np.searchsorted(sizes[right], -(-percent * sizes[block[0]] // 100)))
+    r1 = int(np.searchsorted(sizes[right], 100 * sizes[block[-1]] // percent, "right"))
+    r0 = max(r0, lo + 1) if same else r0
+    r1 = max(r0, r1)
+    ones = np.zeros((len(block), r1 - r0), np.int64)
+    if r0 == r1:
+        return r0, r1, ones > 0
+    for a, b in zip(maps_l, maps_r):
+        ones += np.bitwise_count(a[lo : lo + len(block), None] ^ b[None, r0:r1])
+    one, two = sizes[block][:, None], sizes[right[r0:r1]][None, :]
+    total = one + two
+    keep = ((100 + percent) * ((total - ones) // 2) >= percent * total) & (
+        100 * np.minimum(one, two) >= percent * np.maximum(one, two)
+    )
+    if same:
+        keep &= np.arange(lo, lo + len(block))[:, None] < np.arange(r0, r1)[None, :]
+    return r0, r1, keep
+
+
 def _tile_links(percent: int):
     """A tile's task: bitmap bound, then exact intersection; a spanning forest of its links.
 
@@ -232,7 +328,7 @@ def _tile_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
         diagonal = table.column("x")[0].as_py() == table.column("y")[0].as_py()
         column = {c: table.column(c).to_numpy() for c in ("doc_id", "k1", "k2", "side", "band")}
-        sets = _sets_of(table)
+        sets = _lists_of(table, "shingles")
         # copies of one set from several input partitions: the smallest id stays
         order = np.lexsort((column["doc_id"], column["k2"], column["k1"], column["side"]))
         k1, k2, sd = (column[c][order] for c in ("k1", "k2", "side"))
@@ -269,21 +365,7 @@ def _tile_links(percent: int):
                 step = max(1, BLOCK_PAIRS // len(right))
                 for lo in range(0, len(left), step):
                     block = left[lo : lo + step]
-                    r0 = int(np.searchsorted(sizes[right], -(-percent * sizes[block[0]] // 100)))
-                    r1 = int(np.searchsorted(sizes[right], 100 * sizes[block[-1]] // percent, "right"))
-                    r0 = max(r0, lo + 1) if same else r0
-                    if r0 >= r1:
-                        continue
-                    ones = np.zeros((len(block), r1 - r0), np.int64)
-                    for w in range(words):
-                        ones += np.bitwise_count(maps_l[w, lo : lo + step, None] ^ maps_r[w, None, r0:r1])
-                    one, two = sizes[block][:, None], sizes[right[r0:r1]][None, :]
-                    total = one + two
-                    keep = ((100 + percent) * ((total - ones) // 2) >= percent * total) & (
-                        100 * np.minimum(one, two) >= percent * np.maximum(one, two)
-                    )
-                    if same:
-                        keep &= np.arange(lo, lo + len(block))[:, None] < np.arange(r0, r1)[None, :]
+                    r0, _, keep = _candidates(percent, sizes, block, right, lo, same, maps_l, maps_r)
                     for i, j in zip(*np.nonzero(keep)):
                         a, c = int(block[i]), int(right[r0 + j])
                         ra, rc = find(a), find(c)
@@ -359,12 +441,28 @@ def jaccard_components(
         first = F.create_map(*[v for b, (c, _) in sorted(place.items()) for v in (F.lit(b), F.lit(c))])
         parts = F.create_map(*[v for b, (_, n) in sorted(place.items()) for v in (F.lit(b), F.lit(n))])
         chunk = first[F.col("band")] + F.pmod(F.xxhash64("k1", "k2"), parts[F.col("band")])
-        placed = (
-            _sets(docs, width, percent, linkable=True)
+        drawn = (
+            _sets(docs, width, percent, linkable=True, with_bits=True)
             .withColumn("chunk", chunk.cast("long")).join(tiles, ["chunk", "band"])
-            .select("doc_id", "k1", "k2", "band", "shingles", "x", "y",
+            .select("n_shingles", "k1", "k2", "band", "bits", "x", "y",
                     F.when(F.col("chunk") == F.col("x"), 0).otherwise(1).alias("side"))
         )
+        marked = save(
+            drawn.groupBy("x", "y").applyInArrow(
+                _tile_marks(percent), "n_shingles long, k1 long, k2 long, x long, y long, side int"
+            ),
+            "jaccard-marked",
+        )
+        # the tiles of each set that may link there; its text is read again, through its smallest id
+        wanted = groups.join(marked, key).groupBy("rep", *key).agg(
+            F.collect_set(F.struct("x", "y", "side")).alias("tiles")
+        ).select(F.col("rep").alias("doc_id"), F.struct(*key).alias("wanted"), "tiles")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+        placed = (
+            _sets(texts, width, percent, carried=("wanted", "tiles"))
+            .filter(F.struct(*key) == F.col("wanted"))
+            .select("doc_id", "k1", "k2", "band", "shingles", F.inline("tiles"))
+        )
         found = save(
             placed.groupBy("x", "y").applyInArrow(_tile_links(percent), "a long, b long"), "jaccard-links"
         )
