@@ -476,3 +476,27 @@ def test_digest_of_removed_bytes_is_stable(docs):
     one, two = (sorted(hashlib.sha256(bytes(r.kept)).hexdigest() for r in induced_dedup.remove_repeats(d).collect())
                 for d in (docs, docs.repartition(5)))
     assert one == two
+
+
+def test_recurrent_lm_holds_narrow_numbers():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ticketlens.llm import gru, recurrent_lm
+
+    texts = pa.array([" ".join(f"w{i % 50}" for i in range(2000))] * 60)
+    codes, owner, words = recurrent_lm.encoded(texts)
+    lexicon = recurrent_lm.Lexicon({w: (i, 5, -1) for i, w in enumerate(words.to_pylist())}, [60 + f for f in range(12)])
+    symbols = lexicon.symbols(lexicon.places(words), recurrent_lm.forms_of(words))[codes]
+    assert owner.itemsize == symbols.itemsize == 4
+    parts = recurrent_lm.with_ends(symbols, owner, 60, 59)
+    assert [len(p) for p in parts] == [2001] * 60
+    del codes, owner, symbols
+    tracemalloc.start()
+    for _ in gru.windows(parts, 8, 59):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 * 60 * 2001  # a symbol and an owner of 4 bytes each, and a window

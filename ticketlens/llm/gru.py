@@ -52,7 +52,7 @@ def windows(texts: list[np.ndarray], most: int, start: int):
         return
     rows = []
     for stream in streams(texts, most):
-        owner = np.repeat(stream, [len(texts[i]) for i in stream])
+        owner = np.repeat(np.array(stream, np.int32), [len(texts[i]) for i in stream])
         rows.append((np.concatenate([texts[i] for i in stream]), owner))
     sizes = np.array([len(r[1]) for r in rows])
     last = np.full((2, len(rows)), -1)  # target and text of the step before

@@ -24,7 +24,7 @@ FOLDS, HELD = 5, 1
 FORMS = 12
 # fixed values: letters that tell scripts apart, in this order; any other non-ASCII is a third
 UMLAUTS, TILDES = "äöüßÄÖÜ", "ñÑáÁíÍóÓúÚ"
-POOL = 1 << 24
+POOL = 12 << 20
 BLOCK = 1024
 
 
@@ -56,15 +56,17 @@ def form(word: bytes) -> int:
 def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """All words of ``texts`` in a row as numbers, the text of each, and the distinct words."""
     lists = pc.ascii_split_whitespace(texts)
-    words, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    owner, words = pc.list_parent_indices(lists).to_numpy().astype(np.int32), lists.flatten()
     full = pc.not_equal(pc.binary_length(words), 0)  # blanks at a text's ends
-    coded = words.filter(full).dictionary_encode()
+    words = words.filter(full)
+    del lists  # each word's bytes were held twice
+    coded = words.dictionary_encode()
     return coded.indices.to_numpy(), owner[full.to_numpy(zero_copy_only=False)], coded.dictionary.cast(pa.binary())
 
 
 def with_ends(symbols: np.ndarray, owner: np.ndarray, n: int, end: int) -> list[np.ndarray]:
     """The symbols of each of ``n`` texts and its end."""
-    stops = np.searchsorted(owner, np.arange(n), "right")
+    stops = np.searchsorted(owner, np.arange(n, dtype=np.int32), "right")
     return np.split(np.insert(symbols, stops, end), (stops + np.arange(1, n + 1))[:-1])
 
 
@@ -83,7 +85,7 @@ class Lexicon:
     def __init__(self, lexicon: dict, forms: list[int]):
         self.words = pa.array(list(lexicon), pa.binary())
         self.known = np.array(list(lexicon.values()), np.int64).reshape(-1, 3)
-        self.forms = np.array(forms, np.int64)
+        self.forms = np.array(forms, np.int32)
 
     def places(self, words: pa.Array) -> np.ndarray:
         """Each word's place among the hot ones, -1 for others."""
@@ -186,6 +188,7 @@ def _round(docs: DataFrame, model: dict) -> dict:
             codes, owner, words = encoded(raw)
             symbols = lexicon.symbols(lexicon.places(words), forms_of(words))
             texts = with_ends(symbols[codes], owner, len(raw), known["end"])
+            del raw, words, codes, owner  # not needed by the network
             net = gru.train(net, texts, known["end"])
             tokens += sum(map(len, texts))
         if tokens:
@@ -257,7 +260,7 @@ def score(docs: DataFrame, model: dict, counts: DataFrame, id_col: str = "doc_id
             seen = total(hot.astype(float)).astype(np.int64) + (1 if known["ends"] else 0)
             # words outside the hot ones, once per text
             cold = ~hot[codes]
-            pairs, often = np.unique(owner[cold] * distinct + codes[cold], return_counts=True)
+            pairs, often = np.unique(owner[cold].astype(np.int64) * distinct + codes[cold], return_counts=True)
             at, code = np.divmod(pairs, distinct)
             rare = pa.ListArray.from_arrays(
                 pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32()),
@@ -266,6 +269,7 @@ def score(docs: DataFrame, model: dict, counts: DataFrame, id_col: str = "doc_id
                     names=["word", "n", "form"],
                 ),
             )
+            del raw, words, codes, owner, cold, pairs, at, code  # not needed by the network
             logs = gru.log_likelihoods(known["net"], texts, end) / np.log(10) + extra
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("held_out"), batch.column("row"),
