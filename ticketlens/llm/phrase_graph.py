@@ -8,9 +8,9 @@ between spaces and tabs; nothing spans two pieces. Per language (NULL: ``und``):
   its edge where the piece has room, else the rest of the piece (the piece-end correction, at
   most ``longest - 1`` records a piece). Records are counted per task before the one shuffle, so
   a phrase repeated in a third of all documents arrives as a few counted rows.
-* **Pruning.** A gram is no more frequent than any of its words and pairs of neighbours. Two passes
-  count these by 64-bit hashes and keep a bit for the frequent ones in a filter of fixed size;
-  a record ends before the first pair that surely is rare. Hashes that meet let a record be longer
+* **Pruning.** A gram is no more frequent than any of its words and pairs of neighbours. A
+  pass for each counts them by hashes and keeps a bit for the frequent ones in a filter of fixed
+  size; a record ends before what surely is rare. Hashes that meet let a record be longer
   than it need be, and never change a count that is kept.
 * **Flows.** A ``k``-gram occurs either followed by a word (the prefix of a ``k + 1``-gram) or at
   its piece's end, so ``f_k(g) = sum_w f_(k+1)(g w) + end_k(g)``: the flow through node ``g`` is
@@ -44,11 +44,14 @@ from pyspark.sql import functions as F
 
 from ticketlens.llm.common import _LETTER, mix, prefix_hash, raw_bytes, save, text_slices
 
-COMBINE_ROWS = 1 << 20
+COMBINE_ROWS = 1 << 19
 """Records a task counts together before sending them on: bounds its memory, not its work."""
 
-FILTER_BITS = 1 << 26
-"""Bits of a filter: 8 MB, whatever the input."""
+PRUNED = 2
+"""Words of the longest grams that are counted ahead of the records."""
+
+FILTER_BITS = 1 << 24
+"""Bits of a filter: 2 MB, whatever the input."""
 
 _KIND = np.zeros(256, np.uint8)  # 0: in a word, 1: blank, 2: ends a piece
 _KIND[[0x20, 0x09]] = 1
@@ -82,10 +85,20 @@ class _Slice:
         self.hash = mix((total[ends] - total[starts]) * down[starts] ^ salts[self.lang])
         self.letters = _LOWER[data[inside]]
 
-    def pairs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word but the last: does a pair of ``words`` begin there, and its hash."""
-        both = words[:-1] & words[1:] & (self.piece[:-1] == self.piece[1:])
-        return both, mix(self.hash[:-1] * _ODD + self.hash[1:] * _PAIR)
+    def begins(self, filters: tuple[Filter, ...], length: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """For 1, 2 .. ``length`` words, where a gram of so many begins that passes its filter and
+        whose parts pass theirs (lengths beyond ``filters``: the parts only), and the last hashes."""
+        hashes, out = self.hash, [_passes(filters[0] if filters else None, self.hash)]
+        for k in range(1, length):
+            parts = out[-1][:-1] & out[-1][1:]
+            if k == 1:
+                parts &= self.piece[:-1] == self.piece[1:]
+            if k <= len(filters):  # the hash is asked for, here or by the caller
+                hashes = mix(hashes[:-1] * _ODD + self.hash[k:] * _PAIR)
+            if k < len(filters):
+                parts[parts] = _passes(filters[k], hashes[parts])
+            out.append(parts)
+        return out, hashes
 
     def grams(self, at: np.ndarray, length: np.ndarray) -> pa.Array:
         """The ``length`` words from each of ``at`` on, between single spaces."""
@@ -119,20 +132,20 @@ def _passes(bits: Filter, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _filter(texts: DataFrame, min_count: int, words: Filter, pairs: bool) -> np.ndarray:
-    """A bit for the hash of each word (pair of words that pass ``words``) seen ``min_count``
-    times. Others may share the bit: what passes may be rare, what doesn't pass surely is."""
+def _filter(texts: DataFrame, min_count: int, known: tuple[Filter, ...]) -> np.ndarray:
+    """A bit for the hash of each gram, one word longer than those of ``known`` and made of what
+    passes them, that is seen ``min_count`` times. Others may share the bit, or the 32 bits of
+    hash that are counted: what passes may be rare, what doesn't pass surely is."""
 
     def count(batches):
         held, rows = [], 0
         for own in _slices(batches):
-            if pairs:
-                both, hashes = own.pairs(_passes(words, own.hash))
-                held.append(hashes[both])
-            else:
-                held.append(own.hash)
+            if len(own.size) <= len(known):
+                continue
+            at, hashes = own.begins(known, len(known) + 1)
+            held.append(hashes[at[-1]].astype(np.uint32))
             rows += len(held[-1])
-            if rows >= 4 * COMBINE_ROWS:
+            if rows >= 8 * COMBINE_ROWS:
                 yield counted(held)
                 held, rows = [], 0
         if rows:
@@ -141,7 +154,7 @@ def _filter(texts: DataFrame, min_count: int, words: Filter, pairs: bool) -> np.
     def counted(held):
         hashes, often = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(hashes.view(np.int64)), pa.array(often.astype(np.int64))], names=["h", "f"]
+            [pa.array(hashes.astype(np.int64)), pa.array(often.astype(np.int64))], names=["h", "f"]
         )
 
     def block(table: pa.Table) -> pa.Table:
@@ -156,7 +169,7 @@ def _filter(texts: DataFrame, min_count: int, words: Filter, pairs: bool) -> np.
     ).distinct()
     blocks = places.withColumn("block", F.floor(F.col("at") / (1 << 16)).cast("int"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in blocks.groupBy("block").applyInArrow(block, "block int, bits binary").collect():  # 8 MB at most
+    for r in blocks.groupBy("block").applyInArrow(block, "block int, bits binary").collect():  # 2 MB at most
         bits[r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
@@ -165,45 +178,32 @@ def _records(docs: DataFrame, longest: int, min_count: int) -> DataFrame:
     """(lang, gram, f): one record per word position, counted per task: its ``longest``-gram edge
     where the piece has room, else the piece's end from there (the piece-end correction).
 
-    A record ends before the first pair of neighbours that is seen less than ``min_count`` times
-    in the whole table, as no gram across it is frequent; words that are rarer themselves are
-    only counted, under ''. Counts below ``min_count`` are therefore not whole.
+    A record ends before the first ``PRUNED`` neighbours, or fewer, that are seen less than
+    ``min_count`` times in the whole table, as no gram across them is frequent. Counts below
+    ``min_count`` are therefore not whole, except those of single words.
     """
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"),
     )
-    filters = (None, None)
+    filters = ()
     if min_count > 1:
-        words = _filter(texts, min_count, None, False)
-        filters = (words, _filter(texts, min_count, words, True))
+        for _ in range(min(PRUNED, longest)):
+            filters = (*filters, _filter(texts, min_count, filters))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
-        words, pairs = shared.value
         for own in _slices(batches):
-            n = len(own.size)
-            if not n:
+            if not len(own.size):
                 continue
-            known = _passes(words, own.hash)
-            both, hashes = own.pairs(known)
-            on = np.zeros(n + longest, bool)  # a pair begins here and passes
-            on[: n - 1] = both
-            on[: n - 1][both] = _passes(pairs, hashes[both])
-            length, going = known.astype(np.int64), known
-            for j in range(longest - 1):
-                going = going & on[j : n + j]
-                length += going
-            at = np.flatnonzero(known)
-            if len(at):
-                yield pa.table({
-                    "lang": own.names.take(pa.array(own.lang[at])).cast(pa.large_string()),
-                    "gram": own.grams(at, length[at]), "f": pa.array(np.ones(len(at), np.int64)),
-                })
-            rare = np.bincount(own.lang[~known], minlength=len(own.names))
+            begins, _ = own.begins(shared.value, min(longest, len(own.size)))
+            length = begins[0].astype(np.int64)
+            for at in begins[1:]:
+                length[: len(at)] += at
+            length[length == 0] = 1  # a rare word alone
             yield pa.table({
-                "lang": own.names.cast(pa.large_string()),
-                "gram": pa.array([""] * len(rare), pa.large_string()), "f": pa.array(rare.astype(np.int64)),
+                "lang": own.names.take(pa.array(own.lang)).cast(pa.large_string()),
+                "gram": own.grams(np.arange(len(length)), length), "f": pa.array(np.ones(len(length), np.int64)),
             })
 
     return texts.mapInArrow(lambda batches: _combine(run(batches)), "lang string, gram string, f long")
@@ -306,7 +306,7 @@ def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 1) -> Data
     ordered = ranged.withColumns(keys).sortWithinPartitions("lang", *keys).drop(*keys)
     parts = ordered.mapInArrow(_flows(longest, min_count), "lang string, k int, gram string, f long")
     summed = parts.groupBy("lang", "k", "gram").agg(F.sum("f").alias("f"))
-    return summed.filter((F.col("k") == 0) | ((F.col("f") >= min_count) & (F.col("gram") != "")))
+    return summed.filter((F.col("k") == 0) | (F.col("f") >= min_count))
 
 
 def collocations(
