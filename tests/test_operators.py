@@ -216,6 +216,16 @@ def test_forest_learns_the_rules(spark):
     assert models.train_profiles(users_, 99) is None
 
 
+def test_forest_keeps_node_ids_and_does_not_depend_on_how_rows_came(spark):
+    users_ = features.user_features(behaviour(spark)).cache()
+    forests = [
+        models.train_profiles(rows_, 500, trees=10).stages[-1]
+        for rows_ in (users_.coalesce(1), users_.repartition(7, "total_tickets"))
+    ]
+    assert all(f.getCacheNodeIds() for f in forests)
+    assert forests[0].toDebugString.split("\n")[1:] == forests[1].toDebugString.split("\n")[1:]
+
+
 def test_risk_model_and_fallback(spark):
     layout = "technician_id long, current_open_tickets long, tickets_last_7_days long, avg_resolution_days_last_30_days double, high_priority_ratio double, historical_sla_pct double, sla_violation int"
     mixed = spark.createDataFrame([(i, i, i % 3, 1.0, 0.1, 100.0 - i, int(i > 10)) for i in range(20)], layout)
