@@ -175,6 +175,21 @@ def test_near_duplicates_of_an_edited_centre_do_not_all_meet(spark, monkeypatch)
     assert met == [0]  # 136 pairs share one of the absent text's shingles or more
 
 
+def test_near_duplicates_go_to_the_last_round_when_few_pairs_link(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(18):  # 18 texts that share bands and do not link
+        text = list(base)
+        text[3 * i + 2] = f"own{i}"
+        texts.append((i, " ".join(text)))
+    tried, confirm = [], circulant_minhash._confirm
+    monkeypatch.setattr(circulant_minhash, "_confirm", lambda *a: tried.append(a[0].count()) or confirm(*a))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = circulant_minhash.near_duplicates(df, width=3, percent=85, bands=30, stars=3).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(18)}
+    assert len(tried) == 1 and tried[0] > 0  # the last round leaves no pair to compare
+
+
 def test_circulant_signature_estimates_overlap():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 1200).astype(np.uint64)

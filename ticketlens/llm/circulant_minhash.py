@@ -7,7 +7,8 @@ every coordinate, and all coordinates of a shingle are one contiguous slice of t
 Links: documents with equal shingle sets become one class first, so a group of copies costs one
 row per document and no pairs. Classes meet in bands. A round picks one centre per bucket and
 compares the other members with it, on the whole sets; what linked is joined into components,
-and only members of other components are compared in the next round. The last round finds every
+and only members of other components are compared in the next round. A round in which under
+one pair in a hundred links is followed by the last one at once. The last round finds every
 link left in a bucket, without a cap: the members' differences from the bucket's centre are
 joined by a prefix filter (see ``_deltas``), rarest elements first (see ``_prefixes``), so members
 that differ from the centre in different places never meet, however many they are.
@@ -29,6 +30,7 @@ from ticketlens.operators.components import connected_components
 RING = 1 << 20
 BLOCK = 4096
 HELD = 1 << 18  # elements of one batch of differences
+FEW = 100  # fixed value: with fewer links than pairs / FEW, rounds with centres have done their part
 _A, _B, _C = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
@@ -249,7 +251,7 @@ def near_duplicates(
     nothing either (``component_id`` NULL, kept). Rows that repeat an id are one document: links
     of any of its texts count for all of them, and each row is returned. Other columns are not
     looked at, whatever their names. An empty table gives an empty result. ``stars`` is the
-    number of rounds with centres, one at least.
+    largest number of rounds with centres, one at least.
     """
     if stars < 1:
         raise ValueError("stars must be 1 or more")
@@ -280,8 +282,12 @@ def near_duplicates(
     texts = save(texts, "minhash-texts")
 
     links = tried = None  # between classes
+    few = False
     labels = classes.select(F.col("mark").alias("node"), F.col("mark").alias("root"))
-    for turn in range(stars + 1):
+    turn, last = -1, False
+    while not last:
+        turn += 1
+        last = turn == stars or few
         at = members.join(labels, members.mark == labels.node).select(
             "band", "key", "mark", "id", "n", F.col("root").alias("label")
         )
@@ -290,13 +296,13 @@ def near_duplicates(
         )
         # the first and the last centre are the smallest id in every band, so that most bands
         # name the same pairs; others differ from band to band and from round to round
-        by_id = turn in (0, stars)
+        by_id = turn == 0 or last
         order = F.struct("id", "mark") if by_id else F.xxhash64("mark", "band", F.lit(turn))
         open_ = at.groupBy("band", "key").agg(
             F.min("label").alias("lo"), F.max("label").alias("hi"),
             F.min_by(centre, order).alias("m"), F.count(F.lit(1)).alias("size"),
         ).filter("lo < hi")
-        if turn < stars:
+        if not last:
             met = at.join(open_.select("band", "key", "m.*"), ["band", "key"]).filter("label <> cl")
             fresh = met.filter(  # no larger overlap than the smaller set
                 100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")
@@ -316,11 +322,14 @@ def near_duplicates(
             backward = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
             fresh = fresh.join(tried.unionByName(backward), ["a", "b"], "left_anti")
         fresh = save(fresh, "minhash-pairs")
-        if fresh.isEmpty():
+        compared, few = fresh.count(), True
+        if not compared:
             continue
         tried = fresh if tried is None else tried.unionByName(fresh)
         found = save(_confirm(fresh, texts, width, percent), "minhash-links")
-        if found.isEmpty():
+        linked = found.count()
+        few = FEW * linked < compared
+        if not linked:
             continue
         links = found if links is None else links.unionByName(found)
         joined = connected_components(links)

@@ -8,32 +8,37 @@ from pyspark.sql import functions as F
 from ticketlens.session import cut_lineage
 
 
+def _edge(a, b):
+    return F.struct(a.alias("a"), b.alias("b"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Tie every larger neighbour of a node to the smallest of its neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    a, b = F.col("a"), F.col("b")
+    both = edges.select(F.inline(F.array(_edge(a, b), _edge(b, a))))
     low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-    return (
-        both.join(low, "a")
-        .filter(F.col("b") > F.col("a"))
-        .select(F.col("b").alias("a"), F.col("m").alias("b"))
-        .distinct()
-    )
+    # one row per edge at most, whatever repeats; the small star drops repeats
+    return both.join(low, "a").filter(b > a).select(b.alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Tie a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    lifted = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return lifted.unionByName(low.select("a", F.col("m").alias("b"))).filter(
-        F.col("a") != F.col("b")
-    ).distinct()
+    m = F.col("m")
+    lifted = down.join(low, "a").select(F.inline(F.array(_edge(F.col("b"), m), _edge(F.col("a"), m))))
+    return lifted.filter(F.col("a") != F.col("b")).distinct()
 
 
-def _state(edges: DataFrame):
-    return edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    ).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct (larger, smaller) edges are stars: no node hangs on two others, or on
+    one that hangs itself. Further rounds leave stars as they are."""
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("bears")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("bears")),
+    )))
+    loads = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("bears").alias("bears"))
+    return loads.filter("hangs > 1 OR (hangs = 1 AND bears = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -44,13 +49,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct()
     current = cut_lineage(pairs)
-    before = _state(current)
     for _ in range(max_rounds):
         current = cut_lineage(_small_star(_large_star(current)))
-        after = _state(current)
-        if after == before:
+        if _settled(current):
             break
-        before = after
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
