@@ -190,6 +190,48 @@ def test_near_duplicates_go_to_the_last_round_when_few_pairs_link(spark, monkeyp
     assert len(tried) == 1 and tried[0] > 0  # the last round leaves no pair to compare
 
 
+@pytest.mark.parametrize("text", ["a", "a b", "a b c", "a b c d", "a b c d e f", ""])
+def test_shingles_of_one_text_alone(text):
+    """A slice may hold one short text only: its set is what it is among others."""
+    alone = list(circulant_minhash.shingle_sets(pa.array([text]), 5))
+    among = list(circulant_minhash.shingle_sets(pa.array([text, "v w x y z " * 3]), 5))
+    assert len(alone) == 1 and np.array_equal(alone[0], among[0])
+    assert len(alone[0]) == max(len(text.split()) - 4, min(1, len(text)))
+
+
+def test_near_duplicates_of_one_short_text_in_a_task(spark):
+    df = spark.createDataFrame([(7, "two words")], "doc_id bigint, text string").coalesce(1)
+    got = circulant_minhash.near_duplicates(df).collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got] == [(7, 1, 7, True)]
+
+
+def test_exploded_rows_carry_no_whole_text_or_array(spark, tmp_path, monkeypatch):
+    """A text of n lines, or n differences, must not be copied n times."""
+    carried = []
+
+    def generates(plan):
+        if plan.getClass().getSimpleName() == "Generate":
+            out = plan.requiredChildOutput()
+            carried.append([out.apply(i).dataType().simpleString() for i in range(out.size())])
+        for i in range(plan.children().size()):
+            generates(plan.children().apply(i))
+
+    def seen(df, label, save=circulant_minhash.save):
+        if label in ("lines", "minhash-prefixes"):
+            generates(df._jdf.queryExecution().optimizedPlan())
+        return save(df, label)
+
+    monkeypatch.setattr(line_runs, "save", seen)
+    monkeypatch.setattr(circulant_minhash, "save", seen)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:3 * i + 2] + [f"own{i}"] + base[3 * i + 3 :]) for i in range(18)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    assert line_runs.drop_repeated_runs(df).count() == 18
+    assert circulant_minhash.near_duplicates(df, width=3, percent=85, bands=30, stars=1).count() == 18
+    assert len(carried) >= 3
+    assert not any(kind == "string" or kind.startswith("array") for row in carried for kind in row)
+
+
 def test_circulant_signature_estimates_overlap():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 1200).astype(np.uint64)

@@ -48,7 +48,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     hashes, bounds = word_hashes(*raw_bytes(texts))
     mixed = np.zeros(len(hashes), np.uint64)
-    for j in range(width):
+    for j in range(min(width, len(hashes))):  # all texts together may have fewer words
         mixed[: len(hashes) - j] += mix(hashes[j:] * _A + np.uint64(j * int(_B) % (1 << 64)))
     mixed = mix(mixed)
     for start, stop in zip(bounds[:-1], bounds[1:]):
@@ -207,11 +207,16 @@ def _prefixes(deltas: DataFrame) -> DataFrame:
     ranked = each.join(shared, ["c", "token"]).groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("often", "token"))).alias("ranked")
     )
-    placed = deltas.drop("tokens").join(ranked, "row")
-    reach = F.greatest("index", "probe") - F.col("d") + F.size("ranked")  # the first places are taken
-    placed = placed.withColumn("reach", F.least(reach, F.size("ranked")).cast("int")).filter("reach > 0")
-    at = F.col("d") - F.size("ranked") + F.col("i")
-    return placed.select("*", F.posexplode(F.slice("ranked", F.lit(1), F.col("reach"))).alias("i", "one")).select(
+    n_shared = F.size("ranked")
+    reach = F.greatest("index", "probe") - F.col("d") + n_shared  # the first places are taken
+    # cut before the explode: a row of one element must not carry all of them
+    placed = deltas.drop("tokens").join(ranked, "row").withColumn("taken", F.col("d") - n_shared).withColumn(
+        "ranked", F.slice("ranked", F.lit(1), F.greatest(F.least(reach, n_shared), F.lit(0)).cast("int"))
+    )
+    at = F.col("taken") + F.col("i")
+    return placed.select(
+        "c", "mark", "label", "taken", "index", "probe", "n", "d", "f", F.posexplode("ranked").alias("i", "one")
+    ).select(
         "c", F.col("one.token").alias("token"), "mark", "label", at.alias("at"),
         (at < F.col("index")).alias("index"), (at < F.col("probe")).alias("probe"), "n", "d", "f",
     )
